@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, secrets, url_rules, warc
+from . import ann, hmm, langid, secrets, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_filter(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(spark, _table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(spark, _table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(spark, _table(spark, sf_dir, "documents"))
