@@ -38,13 +38,16 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    w = F.split(F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+", -1)
-    return F.when(F.element_at(w, -1) == "", F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _spots(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for each shingle: keep, w, and the index i where it starts. What follows stays in one generated loop."""
-    return df.where(F.size("w") > 0).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WORDS, F.lit(0)))).alias("i"))
+    """A row for each shingle: keep, w, and the index i where it starts. What follows stays in one generated loop.
+
+    The condition that drops texts without words names i, so it can't be pushed below, where w would be worked out twice.
+    """
+    spots = df.select(*keep, "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - WORDS, F.lit(0)))).alias("i"))
+    return spots.where(F.get("w", F.col("i")).isNotNull())
 
 
 def _parts() -> list[Column]:
