@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, hmm, langid, line_templates, ngram_join, secrets, url_rules, warc
+from . import ann, decontaminate, hmm, langid, line_templates, mixing, ngram_join, secrets, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(spark, _table(spark, sf_dir, "documents"))
