@@ -4,8 +4,9 @@ Texts with the same shingle set form a class; classes are joined, not copies.
 
 1. A first reading gives each text its set's size, a key of the set, and those of
    its shingle hashes that lie in a fixed share of the hash space. Two similar
-   sets hold the same shared shingles there, so a set of which too few sampled
-   shingles occur elsewhere has no partner, whatever it is: only the rest goes on.
+   sets hold the same shared shingles there, and their sizes are in the same or
+   in neighbouring size bands, so a set of which too few sampled shingles occur
+   in another set of such a size has no partner: only the rest goes on.
 2. For those, every shingle's document frequency is counted, and each set is
    ordered rare first. The first n - ceil(t*n) + 1 shingles are its prefix: two
    similar sets share one there (prefix filter).
@@ -82,36 +83,63 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def first_reading(docs: DataFrame, n: int, percent: int, share: float) -> DataFrame:
-    """(rk, doc_id, n, set_key, slack, sampled) of every row; set_key is null for the empty set.
+    """(rk, doc_id, n, set_key, ck, need, band, sampled) of every row; set_key is null for the empty set.
 
-    slack: how many of the sampled shingles must be shared with a partner, at least.
+    need: how many of the sampled shingles a partner must share, at least. band: sizes of similar sets differ by one band at most.
+    A task samples a class it has seen before no second time, so copies cost a row each and no more.
     """
-    limit = np.uint64(int(share * 2**64))
+    limit, ratio = np.uint64(min(2**64 - 1, int(share * 2**64))), 1.0001 * np.log(100 / percent)
 
     def run(batches):
-        shingles = Shingler(n)
+        shingles, seen = Shingler(n), set()
+        none = np.zeros(0, dtype=np.uint64)
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            some = [s[: np.searchsorted(s, limit)] for s in sets]
-            size = np.array([s.size for s in sets], dtype=np.int64)
-            miss = size - -(-size * percent // 100)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets]
-            need = np.array([s.size for s in some], dtype=np.int64) - miss
-            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(size), pa.array(keys, pa.binary()), pa.array(need), _lists(some)], names=["rk", "doc_id", "n", "set_key", "need", "sampled"])
+            size = np.array([s.size for s in sets], dtype=np.int64)
+            some = [s[: np.searchsorted(s, limit)] for s in sets]
+            need = np.array([s.size for s in some], dtype=np.int64) - (size - -(-size * percent // 100))
+            for i, k in enumerate(keys):
+                if k in seen:
+                    some[i] = none
+                elif k is not None:
+                    seen.add(k)
+            if len(seen) > 500_000:
+                seen.clear()
+            band = np.floor(np.log(np.maximum(size, 1)) / ratio).astype(np.int64) if percent < 100 else size
+            short = np.array([0 if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(size), pa.array(keys, pa.binary()), pa.array(short), pa.array(need), pa.array(band), _lists(some)], names=["rk", "doc_id", "n", "set_key", "ck", "need", "band", "sampled"])
 
-    return docs.mapInArrow(run, "rk long, doc_id long, n long, set_key binary, need long, sampled array<long>")
+    return docs.mapInArrow(run, "rk long, doc_id long, n long, set_key binary, ck long, need long, band long, sampled array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(rk, h, n, bands) for each shingle of each row."""
+    """(rk, hs, n, bands) of each row: all shingles, their number, and how many fall into each hash band."""
 
     def run(batches):
         shingles = Shingler(n)
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rk"), _lists(sets)], names=["rk", "hs"])
+            bands = [np.bincount((s >> np.uint64(7)).astype(np.int64) % BANDS, minlength=BANDS).tolist() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("rk"), _lists(sets), pa.array([s.size for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int32()))], names=["rk", "hs", "n", "bands"])
 
-    return docs.mapInArrow(run, "rk long, hs array<long>")
+    return docs.mapInArrow(run, "rk long, hs array<long>, n int, bands array<int>")
+
+
+def with_possible_partner(read: DataFrame) -> DataFrame:
+    """(set_key): classes that hold enough sampled shingles which another class of a like size holds too.
+
+    A shingle's classes are summed up in one row: whether there are two, and which size bands (in 64 bits) hold it. Where a
+    band holds it more than once the row does not tell which, and all its classes count as having company: never too few.
+    """
+    rows = read.select("rk", "ck", F.pmod("band", F.lit(64)).cast("int").alias("band"), F.explode("sampled").alias("h"))
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    held = rows.groupBy("h").agg(F.min("ck").alias("c1"), F.max("ck").alias("c2"), F.count("*").alias("c"), F.bit_or(bit("band")).alias("bits"))
+    held = held.where("c1 <> c2").select("h", (F.col("c") > F.bit_count("bits")).alias("many"), "bits")
+    beside = bit("pmod(band + 1, 64)").bitwiseOR(bit("pmod(band + 63, 64)"))
+    company = rows.join(held, "h").where(F.col("many") | (F.col("bits").bitwiseAND(beside) != 0)).groupBy("rk").agg(F.count("*").alias("met"))
+    own = read.where("set_key is not null and (need <= 0 or size(sampled) > 0)").select("rk", "set_key", "need")
+    return own.join(company, "rk", "left").where((F.col("need") <= 0) | (F.col("met") >= F.col("need"))).select("set_key").distinct()
 
 
 def _bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -168,22 +196,14 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float
     """
     spark = docs.sparkSession
     small_batches(spark)
-    share = share if share is not None else min(1.0, 1.25 * (100 - percent) / 100)
+    share = share if share is not None else min(1.0, (0.05 + 1.25 * (100 - percent) / 100))
     base = docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     read = stored(first_reading(base, n, percent, share), "first-reading")
-    classes = read.where("set_key is not null").groupBy("set_key").agg(F.min("rk").alias("rep"), F.min("doc_id").alias("least_id"), F.first("need").alias("need"))
+    classes = read.where("set_key is not null").groupBy("set_key").agg(F.min("rk").alias("rep"), F.min("doc_id").alias("least_id"))
     classes = stored(classes, "classes")
-    # sampled shingles of one row of each class that occur in another class
-    one = read.join(classes.select(F.col("rep").alias("rk"), "set_key").where("need > 0"), ["rk", "set_key"], "left_semi").dropDuplicates(["rk"])
-    rows = stored(one.select("rk", F.explode("sampled").alias("h")), "sampled")
-    again = rows.groupBy("h").count().where("count > 1").select("h")
-    met = rows.join(again, "h").groupBy("rk").count()
-    pool = classes.join(met.select(F.col("rk").alias("rep"), "count"), "rep", "left").where((F.col("need") <= 0) | (F.col("count") >= F.col("need")))
-    pool = stored(pool.select(F.col("rep").alias("rk")), "pool")
-    sets = full_sets(base.join(_bounded(pool), "rk").dropDuplicates(["rk"]).select("rk", "text"), n)
-    sets = stored(sets, "sets")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.size(F.filter("hs", lambda h: F.pmod(F.shiftright(h, 7), F.lit(BANDS)) == i)))
-    sizes = sets.select("rk", F.size("hs").alias("n"), bands.alias("bands"))
+    pool = stored(classes.join(with_possible_partner(read), "set_key", "left_semi").select(F.col("rep").alias("rk")), "pool")
+    sets = stored(full_sets(base.join(_bounded(pool), "rk").dropDuplicates(["rk"]).select("rk", "text"), n), "sets")
+    sizes = sets.select("rk", "n", "bands")
     # rare first: shingles of one class alone come first of all, so only their number matters
     every = sets.select("rk", F.explode("hs").alias("h"))
     shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
