@@ -1,42 +1,8 @@
-"""All queries on the driver's tables by name, with the SQL that must give the same rows."""
+"""All queries on the driver's tables by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import evaluation, selection, sequences, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its own name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-select lang, count(*) items, round(avg(case when coalesce(quality, 0) = 1 then 1.0 else 0.0 end), 6) ok_rate,
-       coalesce(round(avg(toxic), 6), 0.0) toxic_mean, round(avg(n_chars), 6) chars_mean
-from documents d left join labels l on d.doc_id = l.doc_id group by lang
-""")
-def mode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J01 + A01: left join of judged labels, summary by mode; an empty mean is 0."""
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    j = d.select("doc_id", "lang", "n_chars").join(lab, "doc_id", "left")
-    return j.groupBy("lang").agg(
-        F.count("*").alias("items"),
-        F.round(F.avg((F.coalesce("quality", F.lit(0)) == 1).cast("double")), 6).alias("ok_rate"),
-        F.coalesce(F.round(F.avg("toxic"), 6), F.lit(0.0)).alias("toxic_mean"),
-        F.round(F.avg("n_chars"), 6).alias("chars_mean"),
-    )
+__all__ = ["ORACLES", "QUERIES"]
