@@ -10,8 +10,8 @@ Texts with the same shingle set form a class; classes are joined, not copies.
 2. For those, every shingle's document frequency is counted, and each set is
    ordered rare first. The first n - ceil(t*n) + 1 shingles are its prefix: two
    similar sets share one there (prefix filter).
-3. In every posting list of a prefix shingle, all sets first meet one hub, which
-   costs one pair for each entry. Pairs pass the length, positional and suffix
+3. In every posting list of a prefix shingle, all sets first meet one hub (the one
+   with the fewest shingles of its own), which costs one pair for each entry. Pairs pass the length, positional and suffix
    filters (the last bounds the overlap of what follows by counts in hash bands)
    before each is verified once on the full sets.
 4. Linked sets become components. What is left are pairs inside a list whose ends
@@ -169,14 +169,18 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length, positional and suffix filters on pairs (a, na, ia, ba, b, nb, ib, bb): i is the shingle's place in the prefix, from 0."""
+    """Length, positional and suffix filters on pairs (a, na, ka, ia, ba, b, nb, kb, ib, bb).
+
+    n is the set's size, k how many of its shingles no other set has (they come first and are never shared), i the place of
+    the common prefix shingle. So what comes before it holds at most i - k common ones, and what follows at most n - i.
+    """
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     length = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    rest_a, rest_b = F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")
-    positional = F.least("ia", "ib") + F.least(rest_a, rest_b) >= need
+    before = F.least(F.col("ia") - F.col("ka"), F.col("ib") - F.col("kb"))
+    positional = before + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
     apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     suffix = apart <= F.col("na") + F.col("nb") - 2 * need
-    return pairs.where(length & positional).where(suffix)
+    return pairs.where(length & positional & suffix)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,22 +215,24 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float
     placed = placed.join(sizes, "rk").withColumn("alone", F.col("n") - F.size("o"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     placed = placed.withColumn("take", prefix - F.col("alone")).where("take > 0")
-    post = placed.select("rk", "n", "bands", "alone", F.posexplode(F.slice("o", F.lit(1), F.col("take"))).alias("i", "x"))
-    post = post.select("rk", "n", "bands", (F.col("i") + F.col("alone")).alias("i"), F.col("x.h").alias("h"))
-    hubs = post.groupBy("h").agg(F.min(F.struct("rk", "n", "i", "bands")).alias("hub"), F.count("*").alias("held")).where("held > 1")
+    # a set can share n - k shingles at most; if that is too few for partners of its own size and larger ones, it is loose, and
+    # two loose sets never link (each would have to be the smaller one): every pair has a tight end
+    tight = F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent) >= 2 * F.col("n")
+    post = placed.withColumn("tight", tight).select("rk", "n", "bands", "tight", F.col("alone").alias("k"), F.posexplode(F.slice("o", F.lit(1), F.col("take"))).alias("i", "x"))
+    post = post.select("rk", "n", "bands", "tight", "k", (F.col("i") + F.col("k")).alias("i"), F.col("x.h").alias("h"))
+    hubs = post.groupBy("h").agg(F.min(F.struct("k", "rk", "n", "i", "bands", "tight")).alias("hub"), F.count("*").alias("held")).where("held > 1")
     post = stored(post.join(hubs, "h").drop("held"), "postings")
-    a, b = "hub.rk as a", "rk as b"
-    star = post.where("rk <> hub.rk").selectExpr("h", a, "hub.n as na", "hub.i as ia", "hub.bands as ba", b, "n as nb", "i as ib", "bands as bb")
+    star = post.where("rk <> hub.rk and (tight or hub.tight)").selectExpr("h", "hub.rk as a", "hub.n as na", "hub.k as ka", "hub.i as ia", "hub.bands as ba", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb")
     links = stored(_verified(_filtered(star, percent), sets, percent), "links")
     nodes = pool.select(F.col("rk").alias("node"))
     comp = components(nodes, links)
     # pairs of a list that are in different components and not the hub's own
-    named = post.where("rk <> hub.rk").join(comp.withColumnRenamed("node", "rk"), "rk").select("h", "rk", "n", "i", "bands", "comp")
-    open_lists = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("h")
+    named = post.where("rk <> hub.rk").join(comp.withColumnRenamed("node", "rk"), "rk").select("h", "rk", "n", "k", "i", "bands", "tight", "comp")
+    open_lists = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bool_or("tight").alias("any_tight")).where("c1 <> c2 and any_tight").select("h")
     named = stored(named.join(open_lists, "h"), "open-postings")
-    x = named.selectExpr("h", "rk as a", "n as na", "i as ia", "bands as ba", "comp as ca")
-    y = named.selectExpr("h", "rk as b", "n as nb", "i as ib", "bands as bb", "comp as cb")
-    cross = _filtered(x.join(y, "h").where("ca <> cb and a < b"), percent)
+    x = named.where("tight").selectExpr("h", "rk as a", "n as na", "k as ka", "i as ia", "bands as ba", "comp as ca")
+    y = named.selectExpr("h", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb", "comp as cb", "tight as tb")
+    cross = _filtered(x.join(y, "h").where("ca <> cb and (a < b or not tb)"), percent)
     more = stored(_verified(cross, sets, percent), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
