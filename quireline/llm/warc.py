@@ -35,7 +35,10 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
 def dictionary_from(pages: DataFrame, sample_rows: int = 400, sample_bytes: int = 8 << 20, size: int = 64 << 10) -> bytes:
-    """A dictionary trained from whole records: the sample_rows first by hash, up to sample_bytes. Empty where training needs more."""
+    """A dictionary trained from whole records: the sample_rows first by hash, up to sample_bytes.
+
+    Where that is too little to train on, the records themselves are the dictionary; under 256 bytes there is none.
+    """
     rows = pages.select("html").where(F.length("html") > 0).withColumn("h", F.xxhash64("html")).orderBy("h").limit(sample_rows).select("html").toLocalIterator()
     samples, total = [], 0
     for r in rows:
@@ -44,9 +47,9 @@ def dictionary_from(pages: DataFrame, sample_rows: int = 400, sample_bytes: int
         if total > sample_bytes:
             break
     try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, level=3).as_bytes() if len(samples) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:] if total >= 256 else b""
 
 
 def _clean(url: str) -> str:
@@ -101,7 +104,7 @@ def write_archives(marked: DataFrame, path: str, dictionary: bytes = b"", archiv
                 page_id, url, html, kept, revisit = (x.as_py() for x in r)
                 if out is None:
                     name, n, size = f"{root}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                     if dictionary:
                         out.write(struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary)
                 payload = html.encode("utf-8", "surrogatepass")
@@ -167,7 +170,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in b.column("path").to_pylist():
                 fs = pafs.LocalFileSystem() if path.startswith("/") and "://" not in path else pafs.FileSystem.from_uri(path)[0]
                 rows = []
-                with fs.open_input_stream(path) as raw:
+                with fs.open_input_stream(path, compression=None) as raw:
                     for h, body in read_records(raw):
                         payload = body.partition(b"\r\n\r\n")[2]
                         kind, digest, size = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
