@@ -8,9 +8,9 @@ recurs in enough unrelated documents is dropped from all of them.
 
 Unrelated: copies of one document share all their lines, and dropping those
 would leave none of it. So a template counts as recurring only if at most half
-of its documents agree in the place of the line (its index and their number of
-lines), and at most half agree in what stands beside it (the least hash of
-their other lines). Copies are left to document-level deduplication.
+of its documents agree in the place of the line (its index, their number of lines
+and the lengths of the lines before and after it), and at most half agree in
+what else they hold (the least hash of their other lines). Copies are left to document-level deduplication.
 
 Defined results: a null text stays null, an empty one empty; lines of fewer than
 min_tokens tokens always stay; rows that repeat an id and text count as one
@@ -58,8 +58,8 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, sim
     alike = F.size(F.filter(F.zip_with(F.split("tpl", " "), "pattern", lambda a, b: (a == b) & (b != "<*>")), lambda x: x))
     merged = split.join(pattern, "leaf").where(alike >= similarity * F.size("pattern")).select("leaf", "th", F.xxhash64("leaf", "pattern").alias("merged"))
     kept = lines.join(busy.select("leaf"), "leaf").join(merged, ["leaf", "th"], "left")
-    kept = stored(kept.select("rk", "at", "lines", "beside", "leaf", F.coalesce("merged", "th").alias("template")), "line-candidates")
-    one = kept.groupBy("leaf", "template", "rk").agg(F.min(F.struct("at", "lines")).alias("place"), F.min("beside").alias("beside"))
+    kept = stored(kept.select("rk", "at", "place", "beside", "leaf", F.coalesce("merged", "th").alias("template")), "line-candidates")
+    one = kept.groupBy("leaf", "template", "rk").agg(F.min("place").alias("place"), F.min("beside").alias("beside"))
     keys = ["leaf", "template"]
     place = one.groupBy(*keys, "place").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.sum("c").alias("docs"), F.max("c").alias("same_place"))
     beside = one.groupBy(*keys, "beside").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.max("c").alias("same_side"))
@@ -73,10 +73,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     d = docs.select(*own)
     texts = d.select(row_key("doc_id", "text").alias("rk"), F.split("text", "\n", -1).alias("all")).where("text is not null")
     hashes = F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.xxhash64(x)))), 1, 2)
-    texts = texts.withColumn("least", hashes).select("rk", F.size("all").alias("lines"), "least", F.posexplode("all").alias("at", "line"))
+    sizes = F.transform("all", lambda x: F.length(x) - F.length(F.translate(x, " ", "")))
+    texts = texts.withColumn("least", hashes).withColumn("sizes", sizes).select("rk", F.size("all").alias("count"), "sizes", "least", F.posexplode("all").alias("at", "line"))
+    texts = texts.withColumn("place", F.struct("at", "count", F.get("sizes", F.col("at") - 1).alias("before"), F.get("sizes", F.col("at") + 1).alias("after")))
     least = lambda i: F.try_element_at("least", F.lit(i))
     beside = F.when(least(1) == F.xxhash64("line"), least(2)).otherwise(least(1))
-    lines = stored(_templates(texts, depth).where(F.col("n") >= min_tokens).select("rk", "at", "lines", beside.alias("beside"), "leaf", "th"), "lines")
+    lines = stored(_templates(texts, depth).where(F.col("n") >= min_tokens).select("rk", "at", "place", beside.alias("beside"), "leaf", "th"), "lines")
     drops = recurring(lines, texts.where(F.length("line") > 0).select("line"), min_docs, depth, similarity)
     out = d.withColumn("__rk", row_key("doc_id", "text")).join(drops.withColumnRenamed("rk", "__rk").withColumnRenamed("drop", "__drop"), "__rk", "left")
     parts = F.split("text", "\n", -1)
