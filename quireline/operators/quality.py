@@ -162,14 +162,15 @@ def lines_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: strip(x)), lambda x: x != "")
 
 
-def toc_likeness(c: Column, words: str = TOC_WORDS, back: str = BACK_WORDS) -> Column:
+def toc_likeness(c: Column, words: str = TOC_WORDS, back: str = BACK_WORDS, lines: Column | None = None) -> Column:
     """How much a page looks like a table of contents, 0 to 1."""
-    ls = F.slice(lines_of(c), 1, 200)
+    lines = lines_of(c) if lines is None else lines
+    ls = F.slice(lines, 1, 200)
     low = F.lower(F.coalesce(c, F.lit("")))
     tails = F.size(F.filter(ls, lambda x: x.rlike(r"\d$")))
     leaders = F.size(F.filter(ls, lambda x: x.rlike(r"\.{3,}\s*\d$|…")))
     score = F.when(low.rlike(words), 0.45).otherwise(0.0) + F.when(low.rlike(back), 0.25).otherwise(0.0) + F.when(tails >= 10, 0.35).otherwise(0.0) + F.when(leaders >= 8, 0.20).otherwise(0.0)
-    return F.when(F.size(lines_of(c)) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
+    return F.when(F.size(lines) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def page_label(c: Column, edge: int = 4) -> Column:
@@ -180,9 +181,12 @@ def page_label(c: Column, edge: int = 4) -> Column:
     return F.when(F.size(found) == 1, found[0].cast("int"))
 
 
-def toc_line_stats(c: Column) -> Column:
-    """Counts over a contents page's lines; the first rule that fits gives a line's chapter prefix."""
-    ls = lines_of(c)
+def toc_line_stats(c: Column, ls: Column | None = None) -> Column:
+    """Counts over a contents page's lines; the first rule that fits gives a line's chapter prefix.
+
+    ls: the text's lines, if a column holds them already; worked out once there, they are not split anew for every count.
+    """
+    ls = lines_of(c) if ls is None else ls
     count = lambda p: F.size(F.filter(ls, p))
     alpha = lambda x: x.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")
     tail = lambda x: x.rlike(r"\d$")

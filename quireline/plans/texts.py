@@ -22,6 +22,11 @@ def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *cols)
 
 
+def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lines bound to a column, so that what follows does not split them again."""
+    return _docs(spark, sf_dir, "text", Q.lines_of(F.col("text")).alias("ls"))
+
+
 @query(f"""
 with a as (select doc_id, {WORDS.format(c="text")} tk from documents where n_chars < 4000), b as (select item_id, {WORDS.format(c="text")} tk from benchmark),
 x as (select doc_id, len(tk) nl, unnest(tk) t from a), y as (select item_id, len(tk) nr, unnest(tk) t from b)
@@ -96,7 +101,7 @@ from (select doc_id, text, {LINES} ls from documents)
 """)
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over the lines of a text."""
-    d = _docs(spark, sf_dir, Q.toc_line_stats(F.col("text")).alias("s"))
+    d = _lined(spark, sf_dir).select("doc_id", Q.toc_line_stats(F.col("text"), F.col("ls")).alias("s"))
     return d.select("doc_id", *[F.col(f"s.{c}").cast("bigint" if c != "max_page_num" else "int").alias(c) for c in ("num_lines", "alpha_lines", "tail_digit_lines", "md_len", "max_page_num")])
 
 
@@ -107,7 +112,7 @@ from (select doc_id, text, {LINES} ls from documents)
 """)
 def toc_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score from words, numbers at line ends and leaders."""
-    return _docs(spark, sf_dir, Q.toc_likeness(F.col("text"), "license", "mail|http").alias("toc_score"))
+    return _lined(spark, sf_dir).select("doc_id", Q.toc_likeness(F.col("text"), "license", "mail|http", F.col("ls")).alias("toc_score"))
 
 
 @query(f"""
@@ -127,8 +132,9 @@ from (select doc_id, length({STRIP('text')}) md_len, len({LINES}) n, len(list_fi
 """)
 def toc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first reason against a contents page; later reasons are pooled, their rules are unit-tested."""
-    v = Q.toc_verdict(Q.toc_line_stats(F.col("text")))
-    return _docs(spark, sf_dir, F.when(v.isin("too_short", "too_few_lines", "too_few_alpha_lines"), v).otherwise("other").alias("verdict"))
+    stats = _lined(spark, sf_dir).select("doc_id", Q.toc_line_stats(F.col("text"), F.col("ls")).alias("s"))
+    v = Q.toc_verdict(F.col("s"))
+    return stats.select("doc_id", F.when(v.isin("too_short", "too_few_lines", "too_few_alpha_lines"), v).otherwise("other").alias("verdict"))
 
 
 @query("select p_partkey, case when length(n) <= 12 then n else regexp_replace(left(n, 3), '[ ._]+$', '') || '_' || left(sha1(n), 8) end file_name from (select p_partkey, regexp_replace(p_name || ':' || p_type, '[:/ ]+', '_', 'g') n from part)")
