@@ -34,11 +34,19 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _blanks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+
+
 def _templates(lines: DataFrame, depth: int) -> DataFrame:
     """Adds n, leaf, tpl (tokens joined by blanks, variable ones as <*>) and th, its hash."""
-    flat = F.trim(F.regexp_replace("line", BLANKS, " "))
+    line = F.col("line")
+    odd = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    flat = F.when(odd, F.trim(F.regexp_replace("line", BLANKS, " "))).otherwise(line)
     out = lines.withColumn("tpl", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(flat))
-    out = out.withColumn("n", F.when(F.col("tpl") == "", 0).otherwise(F.length("tpl") - F.length(F.translate("tpl", " ", "")) + 1))
+    out = out.withColumn("n", F.when(F.col("tpl") == "", 0).otherwise(_blanks(F.col("tpl")) + 1))
     return out.withColumn("leaf", F.xxhash64("n", F.substring_index("tpl", " ", depth))).withColumn("th", F.xxhash64("tpl", "n"))
 
 
@@ -73,7 +81,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     d = docs.select(*own)
     texts = d.select(row_key("doc_id", "text").alias("rk"), F.split("text", "\n", -1).alias("all")).where("text is not null")
     hashes = F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.xxhash64(x)))), 1, 2)
-    sizes = F.transform("all", lambda x: F.length(x) - F.length(F.translate(x, " ", "")))
+    sizes = F.transform("all", _blanks)
     texts = texts.withColumn("least", hashes).withColumn("sizes", sizes).select("rk", F.size("all").alias("count"), "sizes", "least", F.posexplode("all").alias("at", "line"))
     texts = texts.withColumn("place", F.struct("at", "count", F.get("sizes", F.col("at") - 1).alias("before"), F.get("sizes", F.col("at") + 1).alias("after")))
     least = lambda i: F.try_element_at("least", F.lit(i))
