@@ -64,14 +64,24 @@ def _counts(c: Counter) -> pa.RecordBatch:
 
 
 class Lexicon:
-    """Totals, counts of the HEAD most frequent words, the words with own classes, and each shared class's total."""
+    """Totals, counts of up to HEAD most frequent words (all with a least count), the words with own classes, and each shared class's total."""
 
     def __init__(self, counts: DataFrame):
         shared = F.crc32(F.substring("token", -3, 3)) % SHARED
         parts = counts.groupBy(shared.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
         self.total, self.types = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-        head = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-        names, n = head.column("token").to_pylist(), head.column("c").to_pylist()
+        # the head by a threshold on counts rather than by a sort: no task and not the driver sees more than HEAD words
+        grade = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2(F.col("c") / 4096) * 256)).cast("long")
+        grades = sorted(((r["g"], r["count"]) for r in counts.groupBy(grade.alias("g")).count().collect()), reverse=True)
+        least, held = None, 0
+        for g, many in grades:
+            held += many
+            if held > HEAD:
+                break
+            least = g
+        head = counts.where(grade >= least).toArrow() if least is not None else None
+        rows = sorted(zip(head.column("c").to_pylist(), head.column("token").to_pylist(), strict=True), key=lambda r: (-r[0], r[1])) if head else []
+        names, n = [r[1] for r in rows], [r[0] for r in rows]
         self.own = {w: i for i, w in enumerate(names[:OWN])}
         self.head = dict(zip(names, n, strict=True))
         weight = np.full(SHARED, 0.5)
