@@ -76,8 +76,6 @@ def train(samples: DataFrame) -> list[float]:
     seen = {True: [1.0] * SYMBOLS**2, False: [1.0] * SYMBOLS**2}
     for r in counts:
         seen[bool(r["is_random"])][r["pair"]] += r["count"]
-
-
     out = []
     for a in range(SYMBOLS):
         row = slice(a * SYMBOLS, (a + 1) * SYMBOLS)
