@@ -86,16 +86,18 @@ class Classifier:
         return p, n
 
 
-def train(labelled: DataFrame, sample_rows: int = 12_000, words_kept: int = 800, least_docs: int = 5) -> Classifier:
-    """Fits on about sample_rows rows (text, quality, toxic), chosen by hash; that bounds the fitting whatever the table's size.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, words_kept: int = 800, least_docs: int = 5) -> Classifier:
+    """Fits on about sample_rows labelled documents, chosen by a hash of the id; that bounds the fitting whatever the tables' size.
 
-    The words kept are those whose presence tells one domain from the rest most surely (by a z-score of document shares).
+    The words kept are those whose presence tells one domain from the rest most surely (by a z-score of document shares). An id
+    with several labels takes the least one. Only the sample's ids meet the documents, so texts are not shuffled.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select("text", _domain(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null and text is not null")
-    total = labelled.select(_domain(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").count()
-    share = min(1.0, sample_rows / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    spark = docs.sparkSession
+    lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
+    lab = lab.select("doc_id", _domain(F.col("l.quality"), F.col("l.toxic")).alias("domain")).where("domain is not null")
+    share = min(1.0, sample_rows / max(1, lab.count()))
+    ids = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "domain"), "mix-sample")
     small_batches(spark)
 
     def sets(batches):
@@ -230,8 +232,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     new = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"]
     own = [c for c in docs.columns if c not in new]
-    lab = labels.select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
-    classifier = train(docs.select("doc_id", "text").join(lab, "doc_id"))
+    classifier = train(docs, labels)
     stats = stored(posteriors(docs.select("text"), classifier), "mix-stats")
     rate, _ = fit_rates(stats, targets or TARGETS)
     return posteriors(docs.select(*own), classifier, *own).withColumn("rate", rate)
@@ -239,8 +240,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate for each document; without the texts nothing but ids and figures is moved."""
-    lab = labels.select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
-    classifier = train(docs.select("doc_id", "text").join(lab, "doc_id"))
+    classifier = train(docs, labels)
     stats = stored(posteriors(docs.select("doc_id", "text"), classifier, "doc_id"), "mix-stats")
     rate, _ = fit_rates(stats, TARGETS)
     return stats.withColumn("rate", rate)
