@@ -189,6 +189,24 @@ def _rate(steps: list[list[float]], pull: float) -> Column:
     return F.aggregate(parsed, rate, lambda r, y: F.greatest(F.lit(0.0), r + F.lit(pull) * (1 - r) - move(y)))
 
 
+def _totals(stats: DataFrame, steps: list[list[float]], pull: float) -> np.ndarray:
+    """Sums of rate x tokens x probability for each domain, with the rates that the steps so far give; whole batches at a time."""
+    names = [f"p_{d}" for d in DOMAINS]
+
+    def run(batches):
+        total = np.zeros(len(names))
+        for b in batches:
+            p = np.column_stack([b.column(c).to_numpy() for c in names])
+            r = np.ones(len(p))
+            for y in steps:
+                r = np.maximum(0.0, r + pull * (1 - r) - p @ np.array(y))
+            total += (r * b.column("n_tokens").to_numpy()) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
+
+    got = stats.select("n_tokens", *names).mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    return np.array([float(v or 0) for v in got])
+
+
 def fit_rates(stats: DataFrame, targets: dict[str, float], iterations: int = 40, pull: float = 0.01, tolerance: float = 0.002) -> tuple[Column, dict[str, float]]:
     """(rate as a column on stats, shares reached). stats has n_tokens and p_<domain>.
 
@@ -213,8 +231,7 @@ def fit_rates(stats: DataFrame, targets: dict[str, float], iterations: int = 40,
     steps: list[list[float]] = []
     best = (np.inf, [], aim)
     for _ in range(iterations):
-        got = stats.withColumn("__r", _rate(steps, size * pull)).agg(*[F.sum(F.col("__r") * F.col("n_tokens") * F.col(p)) for p in names]).first()
-        reached = np.array([float(v or 0) for v in got]) / total
+        reached = _totals(stats, steps, size * pull) / total
         residual = reached - aim
         miss = float((np.abs(residual) / np.maximum(aim, 0.01)).max())
         if miss < best[0]:
