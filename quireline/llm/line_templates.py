@@ -7,10 +7,12 @@ templates close enough to that pattern are merged into it. A template that
 recurs in enough unrelated documents is dropped from all of them.
 
 Unrelated: copies of one document share all their lines, and dropping those
-would leave none of it. So a template counts as recurring only if at most half
-of its documents agree in the place of the line (its index, their number of lines
-and the lengths of the lines before and after it), and at most half agree in
-what else they hold (the least hash of their other lines). Copies are left to document-level deduplication.
+would leave none of it. So documents of a template that agree in the place of the
+line (its index, their number of lines and the lengths of the lines before and
+after it) or in what else they hold (the least hash of their other lines) form one
+group, and so do groups that share a document. A template recurs if there are
+min_docs groups, however many documents one of them has. Copies are left to
+document-level deduplication.
 
 Defined results: a null text stays null, an empty one empty; lines of fewer than
 min_tokens tokens always stay; rows that repeat an id and text count as one
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, stored
+from .ngram_join import components
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Leaves up to this number are sent to all tasks; beyond it they meet the lines in a shuffled join.
@@ -50,6 +53,25 @@ def _templates(lines: DataFrame, depth: int) -> DataFrame:
     return out.withColumn("leaf", F.xxhash64("n", F.substring_index("tpl", " ", depth))).withColumn("th", F.xxhash64("tpl", "n"))
 
 
+def _unrelated(one: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """The keys whose documents form min_docs groups or more, linked by an equal place or an equal beside.
+
+    Places are joined to the least place with the same beside. Each such link takes away one group at most, so counting
+    settles most keys; components are worked out for the links of the others only.
+    """
+    held = stored(one.select(*keys, F.xxhash64("place").alias("p"), F.coalesce("beside", F.lit(0)).alias("b")).distinct(), "line-places")
+    places = held.select(*keys, "p").distinct().groupBy(*keys).agg(F.count("*").alias("places")).where(F.col("places") >= min_docs)
+    wide = held.groupBy(*keys, "b").agg(F.min("p").alias("m"), F.max("p").alias("x")).where("m <> x").drop("x")
+    links = stored(held.join(wide, [*keys, "b"]).where("p <> m").select(*keys, "p", "m").distinct(), "line-place-links")
+    bounds = stored(places.join(links.groupBy(*keys).agg(F.count("*").alias("links")), keys, "left").fillna(0, ["links"]), "line-groups")
+    sure = F.col("places") - F.col("links") >= min_docs
+    node = lambda c: F.xxhash64(*keys, c)
+    open_links = stored(links.join(bounds.where(~sure), keys).select(*keys, "places", node("p").alias("a"), node("m").alias("b")), "line-open-links")
+    nodes = open_links.select(*keys, "places", F.explode(F.array("a", "b")).alias("node")).distinct()
+    comp = nodes.join(components(nodes.select("node"), open_links), "node")
+    groups = comp.groupBy(*keys, "places").agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps"))
+    return bounds.where(sure).select(*keys).unionByName(groups.where(F.col("places") - F.col("nodes") + F.col("comps") >= min_docs).select(*keys))
+
 
 def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, similarity: float) -> DataFrame:
     """(rk, drop): the indexes of each document's lines whose template recurs."""
@@ -69,10 +91,8 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, sim
     kept = stored(kept.select("rk", "at", "place", "beside", "leaf", F.coalesce("merged", "th").alias("template")), "line-candidates")
     one = kept.groupBy("leaf", "template", "rk").agg(F.min("place").alias("place"), F.min("beside").alias("beside"))
     keys = ["leaf", "template"]
-    place = one.groupBy(*keys, "place").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.sum("c").alias("docs"), F.max("c").alias("same_place"))
-    beside = one.groupBy(*keys, "beside").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.max("c").alias("same_side"))
-    found = place.join(beside, keys).where((F.col("docs") >= min_docs) & (F.col("same_place") * 2 <= F.col("docs")) & (F.col("same_side") * 2 <= F.col("docs")))
-    return kept.join(found.select(*keys), keys).groupBy("rk").agg(F.collect_set("at").alias("drop"))
+    found = _unrelated(one, keys, min_docs)
+    return kept.join(found, keys).groupBy("rk").agg(F.collect_set("at").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4, depth: int = 3, similarity: float = 0.7) -> DataFrame:

@@ -134,6 +134,30 @@ def test_leaf_generalises_a_varying_word(spark, prose, rng):
     assert all("Posted" not in r["text"] and r["n_dropped"] == 1 for r in got)
 
 
+def test_a_large_group_of_copies_does_not_keep_a_line(spark, prose, rng):
+    own = lambda n: [text(rng, prose["en"], rng.randint(12, 30)) for _ in range(n)]
+    common = text(rng, prose["de"], 20)
+    base = own(3)
+    docs = [(i, [*base, common]) for i in range(20)] + [(100 + i, [*own(2 + i % 5), common, *own(1 + i % 3)]) for i in range(13)]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")).collect()}
+    assert all(got[i]["text"] == "\n".join(y for y in x if y != common) for i, x in docs)
+
+
+def test_groups_of_documents_by_place_or_beside(spark, rng):
+    rows, want = [], set()
+    for k in range(60):
+        size = rng.randint(2, 9)
+        docs = [(rng.randrange(rng.randint(1, 9)), rng.randrange(rng.randint(1, 9))) for _ in range(size)]
+        groups = []
+        for p, b in docs:
+            near = [g for g in groups if any(p == q or b == c for q, c in g)]
+            groups = [g for g in groups if g not in near] + [[(p, b), *[x for g in near for x in g]]]
+        rows += [(k, p, b) for p, b in docs]
+        want |= {k} if len(groups) >= 3 else set()
+    got = line_templates._unrelated(spark.createDataFrame(rows, "k int, place int, beside long"), ["k"], 3)
+    assert sorted(r["k"] for r in got.collect()) == sorted(want) and 0 < len(want) < 60
+
+
 def test_lines_of_nothing(spark):
     assert line_templates.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
