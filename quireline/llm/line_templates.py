@@ -9,10 +9,18 @@ recurs in enough unrelated documents is dropped from all of them.
 Unrelated: copies of one document share all their lines, and dropping those
 would leave none of it. So documents of a template that agree in the place of the
 line (its index, their number of lines and the lengths of the lines before and
-after it) or in what else they hold (the least hash of their other lines) form one
-group, and so do groups that share a document. A template recurs if there are
-min_docs groups, however many documents one of them has. Copies are left to
-document-level deduplication.
+after it) or in what else they hold form one group, and so do groups that share a
+document. A template recurs if there are min_docs groups, however many documents
+one of them has. Copies are left to document-level deduplication.
+
+What else they hold is told by a line's sign, the least hash of its word pairs,
+which most edits of a line leave as it is. If more than one in OWN tokens of a
+document stands in lines whose signs are in fewer than min_docs documents, the least
+of these signs counts, so that lines which recur together do not make their
+documents look alike; else (copies, or little but recurring lines) the least and the
+greatest sign of all lines do, and those by a second hash, each if it is not the
+line's own. Blank lines and lines that do not take part
+have no sign.
 
 Defined results: a null text stays null, an empty one empty; lines of fewer than
 min_tokens tokens always stay; rows that repeat an id and text count as one
@@ -31,6 +39,8 @@ from .ngram_join import components
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Leaves up to this number are sent to all tasks; beyond it they meet the lines in a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: A document has text of its own if that is more than this part of it.
+OWN = 4
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -53,8 +63,14 @@ def _templates(lines: DataFrame, depth: int) -> DataFrame:
     return out.withColumn("leaf", F.xxhash64("n", F.substring_index("tpl", " ", depth))).withColumn("th", F.xxhash64("tpl", "n"))
 
 
+def _signed(lines: DataFrame) -> DataFrame:
+    """Adds sign, the least hash of the template's word pairs; a template of one word has its own hash."""
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.col("n") - 1), F.slice("words", F.lit(2), F.col("n") - 1), lambda a, b: F.xxhash64(a, b))
+    return lines.withColumn("words", F.split("tpl", " ")).withColumn("sign", F.when(F.col("n") > 1, F.array_min(pairs)).otherwise(F.col("th")))
+
+
 def _unrelated(one: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
-    """The keys whose documents form min_docs groups or more, linked by an equal place or an equal beside.
+    """The keys whose documents form min_docs groups or more, linked by an equal place or an equal beside; a document can have several rows.
 
     Places are joined to the least place with the same beside. Each such link takes away one group at most, so counting
     settles most keys; components are worked out for the links of the others only.
@@ -88,9 +104,17 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, sim
     alike = F.size(F.filter(F.zip_with(F.split("tpl", " "), "pattern", lambda a, b: (a == b) & (b != "<*>")), lambda x: x))
     merged = split.join(pattern, "leaf").where(alike >= similarity * F.size("pattern")).select("leaf", "th", F.xxhash64("leaf", "pattern").alias("merged"))
     kept = lines.join(busy.select("leaf"), "leaf").join(merged, ["leaf", "th"], "left")
-    kept = stored(kept.select("rk", "at", "place", "beside", "leaf", F.coalesce("merged", "th").alias("template")), "line-candidates")
-    one = kept.groupBy("leaf", "template", "rk").agg(F.min("place").alias("place"), F.min("beside").alias("beside"))
+    kept = stored(kept.select("rk", "at", "place", "leaf", "sign", F.coalesce("merged", "th").alias("template")), "line-candidates")
     keys = ["leaf", "template"]
+    one = kept.groupBy(*keys, "rk").agg(F.min("place").alias("place"), F.min("sign").alias("sign"))
+    often = stored(one.groupBy(*keys).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select(*keys), "line-often")
+    known = lines.select("sign", "rk").distinct().groupBy("sign").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    known = stored(known.select("sign", F.lit(True).alias("known")), "line-signs")
+    rare = F.col("known").isNull()
+    held = lines.join(_bounded(known), "sign", "left").groupBy("rk").agg(F.sum("n").alias("tokens"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("own"), F.min(F.when(rare, F.col("sign"))).alias("rarest"), *[f(c).alias(f"s{i}") for i, (f, c) in enumerate((f, c) for f in (F.min, F.max) for c in ("sign", F.xxhash64("sign")))])
+    others = F.array_union(F.array_except(F.array("s0", "s2"), F.array("sign")), F.array_except(F.array("s1", "s3"), F.array(F.xxhash64("sign"))))
+    beside = F.when(F.col("own") * OWN > F.col("tokens"), F.array("rarest")).otherwise(others)
+    one = one.join(_bounded(often), keys).join(held, "rk").select(*keys, "place", F.explode_outer(beside).alias("beside"))
     found = _unrelated(one, keys, min_docs)
     return kept.join(found, keys).groupBy("rk").agg(F.collect_set("at").alias("drop"))
 
@@ -100,13 +124,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*own)
     texts = d.select(row_key("doc_id", "text").alias("rk"), F.split("text", "\n", -1).alias("all")).where("text is not null")
-    hashes = F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.xxhash64(x)))), 1, 2)
     sizes = F.transform("all", _blanks)
-    texts = texts.withColumn("least", hashes).withColumn("sizes", sizes).select("rk", F.size("all").alias("count"), "sizes", "least", F.posexplode("all").alias("at", "line"))
+    texts = texts.withColumn("sizes", sizes).select("rk", F.size("all").alias("count"), "sizes", F.posexplode("all").alias("at", "line"))
     texts = texts.withColumn("place", F.struct("at", "count", F.get("sizes", F.col("at") - 1).alias("before"), F.get("sizes", F.col("at") + 1).alias("after")))
-    least = lambda i: F.try_element_at("least", F.lit(i))
-    beside = F.when(least(1) == F.xxhash64("line"), least(2)).otherwise(least(1))
-    lines = stored(_templates(texts, depth).where(F.col("n") >= min_tokens).select("rk", "at", "place", beside.alias("beside"), "leaf", "th"), "lines")
+    lines = stored(_signed(_templates(texts, depth).where(F.col("n") >= min_tokens)).select("rk", "at", "n", "place", "leaf", "th", "sign"), "lines")
     drops = recurring(lines, texts.where(F.length("line") > 0).select("line"), min_docs, depth, similarity)
     out = d.withColumn("__rk", row_key("doc_id", "text")).join(drops.withColumnRenamed("rk", "__rk").withColumnRenamed("drop", "__drop"), "__rk", "left")
     parts = F.split("text", "\n", -1)

@@ -143,6 +143,35 @@ def test_a_large_group_of_copies_does_not_keep_a_line(spark, prose, rng):
     assert all(got[i]["text"] == "\n".join(y for y in x if y != common) for i, x in docs)
 
 
+@pytest.mark.parametrize("apart", ["\n", "\n\n"])
+def test_a_block_of_lines_does_not_keep_itself(spark, prose, rng, apart):
+    own = lambda n: [text(rng, prose["en"], rng.randint(12, 30)) for _ in range(n)]
+    block, base = [text(rng, prose["de"], 15) for _ in range(12)], own(6)
+    docs = []
+    for i in range(24):
+        mine = own(3 + i % 4)
+        docs.append((i, mine[: i % 3], block, mine[i % 3 :]))
+    copies = [(100 + k, apart.join([*base[:k], *base[k + 1 :]])) for k in range(3)] + [(110 + k, apart.join(base)) for k in range(6)]
+    rows = [(i, apart.join([*a, *b, *c])) for i, a, b, c in docs] + copies
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([x for x in got[i]["text"].split("\n") if x] == [*a, *c] for i, a, _, c in docs)
+    assert all(got[i]["text"] == t for i, t in copies)
+
+
+def test_edited_copies_keep_their_lines(spark, rng):
+    words = [f"w{i:03}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(900)]
+    base = [[rng.choice(words) for _ in range(rng.randint(20, 50))] for _ in range(8)]
+    rows = [(i, "\n".join(" ".join(x) for x in base)) for i in range(15)]
+    for i in range(15, 35):
+        mine = [list(x) for x in base]
+        for x in rng.sample(mine, 4):
+            at = rng.randrange(len(x))
+            x[at : at + rng.choice([0, 1, 1, 2])] = [rng.choice(words)]
+        rows.append((i, "\n".join(" ".join(x) for x in mine if i % 3 or x is not mine[i % 8])))
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
 def test_groups_of_documents_by_place_or_beside(spark, rng):
     rows, want = [], set()
     for k in range(60):
