@@ -23,7 +23,8 @@ line's own. Blank lines and lines that do not take part
 have no sign.
 
 Defined results: a null text stays null, an empty one empty; lines of fewer than
-min_tokens tokens always stay; rows that repeat an id and text count as one
+min_tokens tokens stay unless their templates have min_chars characters besides the
+variable fields (scripts without blanks), and in those only the digits are variable; rows that repeat an id and text count as one
 document and are treated alike; ids may be null; columns other than the text
 are carried through; an empty table gives an empty table.
 """
@@ -51,15 +52,16 @@ def _blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _templates(lines: DataFrame, depth: int) -> DataFrame:
+def _templates(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """Adds n, leaf, tpl (tokens joined by blanks, variable ones as <*>) and th, its hash."""
     line = F.col("line")
     odd = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
     flat = F.when(odd, F.trim(F.regexp_replace("line", BLANKS, " "))).otherwise(line)
-    out = lines.withColumn("tpl", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(flat))
-    out = out.withColumn("n", F.when(F.col("tpl") == "", 0).otherwise(_blanks(F.col("tpl")) + 1))
+    out = lines.withColumn("flat", flat).withColumn("n", F.when(F.col("flat") == "", 0).otherwise(_blanks(F.col("flat")) + 1))
+    variable = F.when(F.col("n") < min_tokens, F.regexp_replace("flat", "[0-9]+", "<*>")).otherwise(F.regexp_replace("flat", r"[^ ]*[0-9][^ ]*", "<*>"))
+    out = out.withColumn("tpl", F.when(F.col("line").rlike("[0-9]"), variable).otherwise(F.col("flat"))).drop("flat")
     return out.withColumn("leaf", F.xxhash64("n", F.substring_index("tpl", " ", depth))).withColumn("th", F.xxhash64("tpl", "n"))
 
 
@@ -89,13 +91,13 @@ def _unrelated(one: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
     return bounds.where(sure).select(*keys).unionByName(groups.where(F.col("places") - F.col("nodes") + F.col("comps") >= min_docs).select(*keys))
 
 
-def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, similarity: float) -> DataFrame:
+def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, min_tokens: int, depth: int, similarity: float) -> DataFrame:
     """(rk, drop): the indexes of each document's lines whose template recurs."""
     docs_of = lines.dropDuplicates(["leaf", "th", "rk"])
     sizes = docs_of.groupBy("leaf", "th").agg(F.count("*").alias("docs"))
     busy = stored(sizes.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "line-leaves")
     mixed = busy.where("kinds > 1").select("leaf")
-    split = _templates(texts, depth).join(_bounded(mixed), "leaf").select("leaf", "th", "tpl").distinct()
+    split = _templates(texts, depth, min_tokens).join(_bounded(mixed), "leaf").select("leaf", "th", "tpl").distinct()
     split = stored(split, "line-templates")
     cells = split.select("leaf", F.posexplode(F.split("tpl", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("c"))
     column = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("most"), F.sum("c").alias("all"))
@@ -119,7 +121,7 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int, depth: int, sim
     return kept.join(found, keys).groupBy("rk").agg(F.collect_set("at").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4, depth: int = 3, similarity: float = 0.7) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4, depth: int = 3, similarity: float = 0.7, min_chars: int = 20) -> DataFrame:
     """docs without the recurring lines, plus n_lines and n_dropped (own columns of these names are replaced)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*own)
@@ -127,8 +129,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     sizes = F.transform("all", _blanks)
     texts = texts.withColumn("sizes", sizes).select("rk", F.size("all").alias("count"), "sizes", F.posexplode("all").alias("at", "line"))
     texts = texts.withColumn("place", F.struct("at", "count", F.get("sizes", F.col("at") - 1).alias("before"), F.get("sizes", F.col("at") + 1).alias("after")))
-    lines = stored(_signed(_templates(texts, depth).where(F.col("n") >= min_tokens)).select("rk", "at", "n", "place", "leaf", "th", "sign"), "lines")
-    drops = recurring(lines, texts.where(F.length("line") > 0).select("line"), min_docs, depth, similarity)
+    lines = stored(_signed(_templates(texts, depth, min_tokens).where((F.col("n") >= min_tokens) | (F.length(F.replace("tpl", F.lit("<*>"), F.lit(""))) >= min_chars))).select("rk", "at", "n", "place", "leaf", "th", "sign"), "lines")
+    drops = recurring(lines, texts.where(F.length("line") > 0).select("line"), min_docs, min_tokens, depth, similarity)
     out = d.withColumn("__rk", row_key("doc_id", "text")).join(drops.withColumnRenamed("rk", "__rk").withColumnRenamed("drop", "__drop"), "__rk", "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")

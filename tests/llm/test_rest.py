@@ -187,6 +187,17 @@ def test_groups_of_documents_by_place_or_beside(spark, rng):
     assert sorted(r["k"] for r in got.collect()) == sorted(want) and 0 < len(want) < 60
 
 
+def test_lines_without_blanks_recur_too(spark, prose, rng):
+    common, numbered = "本网站所载内容未经书面授权不得以任何形式转载或摘编", "版权所有者为本站第{}号编辑部并保留一切权利以及解释权"
+    docs = []
+    for i in range(9):
+        own = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30)) + str(i) for _ in range(3 + i % 4)]
+        docs.append((i, [*own[: i % 3], "短行", common, numbered.format(i), *own[i % 3 :]]))
+    docs += [(20 + i, [f"{rng.randrange(10**24, 10**25)}", text(rng, prose["en"], 12 + i)]) for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")).collect()}
+    assert all(got[i] == "\n".join(y for y in x if y not in (common, numbered.format(i))) for i, x in docs)
+
+
 def test_lines_of_nothing(spark):
     assert line_templates.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
