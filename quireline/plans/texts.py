@@ -34,8 +34,18 @@ select doc_id, item_id, count(*) shared, round(count(*) / (nl + nr - count(*)),
 having count(*) / (nl + nr - count(*)) >= 0.2
 """)
 def token_jaccard_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sets of documents and benchmark items that overlap, by an inverted index."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", X.plain_tokens(F.col("text")).alias("tokens"))
+    """Token sets of documents and benchmark items that overlap, by an inverted index. As its SQL, only documents under 4,000 characters."""
+    return _contaminated(spark, sf_dir, table(spark, sf_dir, "documents").where("n_chars < 4000"))
+
+
+@query()
+def token_jaccard_contamination_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all documents (unit-tested; no SQL)."""
+    return _contaminated(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def _contaminated(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", X.plain_tokens(F.col("text")).alias("tokens"))
     b = table(spark, sf_dir, "benchmark").select("item_id", X.plain_tokens(F.col("text")).alias("tokens"))
     o = J.token_overlap(d, b, "doc_id", "item_id").where("jaccard >= 0.2")
     return o.select("doc_id", "item_id", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
@@ -86,8 +96,18 @@ def conformance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, start, substr(text, start::int + 1, 400) chunk from (select doc_id, text, unnest(range(0, length(text), 360)) start from documents where n_chars < 5000) 
 """)
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """overlapping chunks by code points."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 5000").select("doc_id", "text", F.explode(X.chunk_starts(F.col("text"), 400, 40)).alias("start"))
+    """overlapping chunks by code points. As its SQL, only documents under 5,000 characters."""
+    return _chunks(table(spark, sf_dir, "documents").where("n_chars < 5000"))
+
+
+@query()
+def chunk_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the same over all documents (unit-tested; no SQL)."""
+    return _chunks(table(spark, sf_dir, "documents"))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", "text", F.explode(X.chunk_starts(F.col("text"), 400, 40)).alias("start"))
     return d.select("doc_id", F.col("start").cast("bigint").alias("start"), F.substring("text", F.col("start") + 1, F.lit(400)).alias("chunk"))
 
 
