@@ -326,11 +326,12 @@ def parsed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def phrase_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark openings against the windows of documents they share tokens with; exact hits first, then fuzzy ones (no SQL)."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000")
-    tok = d.select("doc_id", X.plain_tokens(F.col("text"), 9).alias("tokens"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("phrase"))
-    near = J.token_overlap(tok, b.select("item_id", X.plain_tokens(F.col("phrase"), 9).alias("tokens")), "doc_id", "item_id").select("doc_id", "item_id")
+    """Benchmark texts against the windows of documents they share a word with; exact hits first, then fuzzy ones (no SQL)."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tok = d.select("doc_id", words(F.col("text")).alias("tokens"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    near = J.token_overlap(tok, b.select("item_id", words(F.col("phrase")).alias("tokens")), "doc_id", "item_id").select("doc_id", "item_id")
     w = d.select("doc_id", "text", F.explode(X.probe_windows(F.col("text"), 400)).alias("w")).select("doc_id", F.col("w.name").alias("window"), F.expr("substring(text, w.start + 1, 400)").alias("part"))
     m = near.join(w, "doc_id").join(b, "item_id")
     fuzzy = V.partial_similarity_udf("phrase", "part")

@@ -34,3 +34,14 @@ def test_long_documents_and_unknown_lengths_are_read(spark, tmp_path, name, cut)
     got, want, cut_rows = rows_of(spark, str(tmp_path), name, cut)
     assert got == want and len(got) > cut_rows
     assert {r[0] for r in got} == {1, 2, 3}
+
+
+def test_phrases_meet_all_documents_they_share_a_word_with(spark, tmp_path):
+    filler = " ".join(f"w{i}" for i in range(2000))
+    phrase = "Él vio el mar, y " + "a b c d e f g h " * 5 + "fin"
+    docs = [(1, f"{phrase} {filler}", 9000), (2, phrase, None), (3, "другой текст", 12), (4, f"fin {'z' * 300}", 304)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, phrase), (8, "другой")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["doc_id"], r["item_id"], r["window"]): r["score"] for r in catalog.QUERIES["phrase_window_match"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 7, "head"), (1, 7, "mid"), (1, 7, "tail"), (2, 7, "head"), (3, 8, "head"), (4, 7, "head")}
+    assert got[1, 7, "head"] == got[2, 7, "head"] == got[3, 8, "head"] == 1.0 and got[4, 7, "head"] < 1
