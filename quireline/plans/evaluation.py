@@ -249,21 +249,31 @@ select cust, slope, intercept, median(abs(y - (slope * x + intercept))) mad, cou
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").like("1%"))
-    return o.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("pos"), (F.col("o_totalprice") / 1000).alias("y"), (F.unix_timestamp("o_orderdate") / 86400.0).alias("x"))
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderpriority", F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("pos"), (F.col("o_totalprice") / 1000).alias("y"), (F.unix_timestamp("o_orderdate") / 86400.0).alias("x"))
 
 
 @query(f"select cust, round(slope + 1e-8, 6) slope, round(intercept + 1e-6, 4) intercept, round(mad + 1e-6, 4) mad, n, round(greatest(0.0, least(0.99, 1 - mad / 300)), 6) conf from ({LINE})")
 def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A robust line through each group's points, with its spread and a confidence."""
-    r = A.robust_line(_points(spark, sf_dir), ["cust"], "x", "y", "pos", most_err=300.0)
+    """A robust line through each group's points, with its spread and a confidence. As its SQL, only orders of the first priority."""
+    return _lines_through(_points(spark, sf_dir).where(F.col("o_orderpriority").like("1%")))
+
+
+@query()
+def theil_sen_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all orders (unit-tested; no SQL)."""
+    return _lines_through(_points(spark, sf_dir))
+
+
+def _lines_through(points: DataFrame) -> DataFrame:
+    r = A.robust_line(points.drop("o_orderpriority"), ["cust"], "x", "y", "pos", most_err=300.0)
     return r.select("cust", F.round(F.col("slope") + 1e-8, 6).alias("slope"), F.round(F.col("intercept") + 1e-6, 4).alias("intercept"), F.round(F.col("mad") + 1e-6, 4).alias("mad"), "n", F.round("conf", 6).alias("conf"))
 
 
 @query()
 def refit_without_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poor fits lose their extreme points and are fitted again (unit-tested; no SQL)."""
-    return A.clean_and_refit(_points(spark, sf_dir), ["cust"], "x", "y", "pos", most_err=60.0)
+    return A.clean_and_refit(_points(spark, sf_dir).drop("o_orderpriority"), ["cust"], "x", "y", "pos", most_err=60.0)
 
 
 @query("""

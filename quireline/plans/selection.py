@@ -161,7 +161,7 @@ select p_partkey, c_custkey, score, r::int "rank" from (select *, row_number() o
   from part join customer on c_custkey % 40 = p_partkey % 40 where p_partkey <= 400)) where r <= 5
 """)
 def name_similarity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names ranked by containment, then by shared characters; candidates come from a blocking key."""
+    """Names ranked by containment, then by shared characters; as in its SQL, parts up to 400 and candidates from a blocking key."""
     p = table(spark, sf_dir, "part").where("p_partkey <= 400").select("p_partkey", F.lower("p_brand").alias("a"), (F.col("p_partkey") % 40).alias("k"))
     c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("b"), (F.col("c_custkey") % 40).alias("k"))
     shared = F.size(F.array_intersect(F.split("a", ""), F.split("b", "")))
@@ -169,6 +169,17 @@ def name_similarity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.top_by(j, ["p_partkey"], [F.desc("score"), F.col("c_custkey")], 5)
 
 
+@query()
+def name_similarity_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all parts and customers; each distinct brand is ranked once (unit-tested; no SQL)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("b"))
+    shared = F.size(F.array_intersect(F.split("a", ""), F.split("b", "")))
+    j = c.crossJoin(p.select(F.col("brand").alias("a")).distinct()).select("a", "c_custkey", (100 * F.contains("b", F.col("a")).cast("int") + shared).cast("bigint").alias("score"))
+    top = W.top_by(j, ["a"], [F.desc("score"), F.col("c_custkey")], 5)
+    return p.join(top, F.col("brand").eqNullSafe(F.col("a"))).select("p_partkey", "c_custkey", "score", "rank")
+
+
 @query("select doc_id from documents where lang = 'en' intersect select doc_id from labels where quality = 1")
 def intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in both sets."""

@@ -8,14 +8,14 @@ from quireline.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def rows_of(spark, sf, name, cut):
+def rows_of(spark, sf, name, cut, instead=""):
     """The rows of name_whole, and those of name's SQL without the given cut."""
     tables = "documents benchmark orders part customer".split()
     duck = duckdb.connect()
     for t in tables:
         duck.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     assert cut in catalog.ORACLES[name]
-    want = duck.execute(catalog.ORACLES[name].replace(cut, ""))
+    want = duck.execute(catalog.ORACLES[name].replace(cut, instead))
     cols = [d[0] for d in want.description]
     plain = lambda r: tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r)
     got = sorted((plain(r[c] for c in cols) for r in catalog.QUERIES[f"{name}_whole"](spark, sf).collect()), key=repr)
@@ -45,3 +45,17 @@ def test_phrases_meet_all_documents_they_share_a_word_with(spark, tmp_path):
     got = {(r["doc_id"], r["item_id"], r["window"]): r["score"] for r in catalog.QUERIES["phrase_window_match"](spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 7, "head"), (1, 7, "mid"), (1, 7, "tail"), (2, 7, "head"), (3, 8, "head"), (4, 7, "head")}
     assert got[1, 7, "head"] == got[2, 7, "head"] == got[3, 8, "head"] == 1.0 and got[4, 7, "head"] < 1
+
+
+@pytest.mark.parametrize(("name", "cut", "instead"), [("theil_sen", " where o_orderpriority like '1%'", ""), ("name_similarity_rank", "c_custkey % 40 = p_partkey % 40 where p_partkey <= 400", "true")])
+def test_all_orders_and_parts(spark, name, cut, instead):
+    got, want, cut_rows = rows_of(spark, SF, name, cut, instead)
+    assert got == want and len(got) > cut_rows
+
+
+def test_all_items_are_asked_and_long_documents_aligned(spark, tmp_path):
+    lines = "\n".join(f"line number {i} of a long text, with words" for i in range(200))
+    spark.createDataFrame([(1, lines, "s", len(lines)), (2, lines[:400], "s", None)], "doc_id long, text string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"{'What is it? ' * 20}{i}") for i in (3, 19, 20, 150)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r["qid"] for r in catalog.QUERIES["ask_questions"](spark, str(tmp_path)).collect()} == {3, 19, 20, 150}
+    assert {r["doc_id"] for r in catalog.QUERIES["dp_align"](spark, str(tmp_path)).select("doc_id").distinct().collect()} == {1, 2}
