@@ -18,6 +18,8 @@ Texts with the same shingle set form a class; classes are joined, not copies.
    are in different components; they pass the same filters and are verified too.
    A list whose sets are all linked through its hub leaves none, so groups of near
    copies cost their size, not its square; no link between components is lost.
+5. Where links are counted, all pairs of a list whose ends are in one component pass
+   the same filters and are verified: that does cost a group's square.
 
 Defined results: null texts and texts without words have the empty set, are
 linked with nothing and are their own component; texts with fewer words than n
@@ -192,11 +194,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), shared.alias("shared")).where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float | None = None) -> DataFrame:
-    """(rk, doc_id, n_shingles, component_id, n_links) of each row of docs; rk is the row's key.
+def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float | None = None, count_links: bool = False) -> DataFrame:
+    """(rk, doc_id, n_shingles, component_id, and n_links if asked for) of each row of docs; rk is the row's key.
 
-    component_id is the least doc_id of the component; n_links counts verified links of the row's
-    class to other classes.
+    component_id is the least doc_id of the component; n_links counts the links of the row's
+    class to other classes, all of them.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -237,16 +239,21 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = components(nodes, links)
+    if count_links:
+        inside = stored(post.join(comp.withColumnRenamed("node", "rk"), "rk").select("h", "rk", "n", "k", "i", "bands", "tight", "comp"), "inner-postings")
+        x = inside.where("tight").selectExpr("h", "comp", "rk as a", "n as na", "k as ka", "i as ia", "bands as ba")
+        y = inside.selectExpr("h", "comp", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb", "tight as tb")
+        links = stored(_verified(_filtered(x.join(y, ["h", "comp"]).where("a <> b and (a < b or not tb)"), percent), sets, percent), "links")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").count()
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     answer = named.join(least, "comp").join(degree, "rep", "left").select("set_key", "component_id", F.coalesce("count", F.lit(0)).alias("n_links"))
     out = read.select("rk", "doc_id", F.col("n").alias("n_shingles"), "set_key").join(answer, "set_key", "left")
-    return out.select("rk", "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("rk", "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    return join_components(docs, n=3, percent=90).drop("rk")
+    return join_components(docs, n=3, percent=90, count_links=True).drop("rk")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -50,6 +50,22 @@ def test_components_equal_brute_force(spark, rng, n, percent):
     assert got == brute(data, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_links_equal_brute_force(spark, rng, n, percent):
+    base = [f"w{rng.randrange(40)}" for _ in range(150)]
+    copies = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(0, 150, 10)]
+    data = fixture(rng) + list(enumerate(copies, 1000))
+    sets = {}
+    for doc, t in data:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))) if w else frozenset(), []).append(doc)
+    like = lambda a, b: a and b and a != b and len(a & b) * 100 >= percent * len(a | b)
+    want = sorted(((doc, sum(bool(like(a, b)) for b in sets)) for a, docs in sets.items() for doc in docs), key=str)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["n_links"]) for r in N.join_components(df, n, percent, count_links=True).collect()), key=str) == want
+    assert max(c for _, c in want) >= 14
+
+
 def test_one_of_each_stays(spark, rng):
     data = [d for d in fixture(rng) if d[0] not in (None, 7)]
     df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
