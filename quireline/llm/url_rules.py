@@ -58,14 +58,14 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(tag(host_words, "h:"), domain, tag(words, "p:"), tag(keys, "q:")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 8, min_confidence: float = 0.8, min_lift: float = 1.3, max_items: int = 12) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 8, min_confidence: float = 0.8, min_lift: float = 1.3) -> DataFrame:
     """Rules (rule_id, antecedent, verdict, confidence, support, key) from rows (url, blocked).
 
     A rule must also beat its label's share of all rows by min_lift: where most rows are allowed, "allow" is no finding.
 
-    Tokens below the least support cannot be in a rule and are dropped first. A url offers the miner
-    its max_items rarest tokens, which bounds the combinations whatever the urls look like (a bound
-    of the model's fitting, not of what is judged).
+    Tokens below the least support cannot be in a rule and are dropped first; all others go to the
+    miner, so supports and confidences are exact. The combinations it holds grow with the number of
+    frequent tokens that urls have in common.
     """
     spark = labelled.sparkSession
     rows = labelled.where("blocked is not null and url is not null").select(tokens(F.col("url")).alias("tokens"), F.when(F.col("blocked"), BLOCK).otherwise(ALLOW).alias("label"))
@@ -77,7 +77,7 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 8, mi
         return empty
     counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= support * n)
     kept = rows.select("row", "label", F.explode("tokens").alias("token")).join(counts, "token")
-    items = kept.groupBy("row", "label").agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "token"))), 1, max_items)["token"].alias("t"))
+    items = kept.groupBy("row", "label").agg(F.collect_list("token").alias("t"))
     items = items.select(F.concat(F.col("t"), F.array("label")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).associationRules
     found = found.where(F.size("consequent") == 1).select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support", "lift")

@@ -50,6 +50,15 @@ def test_mined_rules_equal_brute_force(spark, rng):
     assert [r["verdict"] for r in U.judge_urls(pages, rules).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
 
 
+def test_rules_on_urls_of_many_tokens(spark, rng):
+    words = [f"{a}{b}x" for a in "abcdefg" for b in "hijklm"]
+    rows = [("http://" + "/".join(["s.org", *rng.sample(words, 14), *(["pills"] if i % 2 else []), f"t{'yz'[i % 4 == 3]}"]), i % 2 == 1) for i in range(240)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    got = {frozenset(r["antecedent"]): (r["verdict"], r["confidence"], round(r["support"], 9)) for r in U.mine(df, min_support=0.01, min_count=40, min_confidence=0.9, min_lift=1.1).collect()}
+    assert got[frozenset({"p:pills"})] == ("block", 1.0, 0.5)
+    assert got[frozenset({"p:tz"})] == ("block", 1.0, 0.25)
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, 0, None), (1, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
