@@ -86,16 +86,46 @@ def robust_line(df: DataFrame, by: list[str], x: str, y: str, tie: str, lo: floa
     return out.withColumn("conf", F.greatest(F.lit(0.0), F.least(F.lit(0.99), 1 - F.col("mad") / most_err)))
 
 
-def clean_and_refit(df: DataFrame, by: list[str], x: str, y: str, tie: str, good: float = 0.72, most_err: float = 3.0, least: int = 4) -> DataFrame:
-    """Where the fit is poor, extreme residuals go and the line is fitted once more; the better of both fits stays."""
-    first = robust_line(df, by, x, y, tie, most_err=most_err)
-    far = F.greatest(F.lit(8.0), F.lit(3 * most_err))
-    kept = df.join(first.where(F.col("conf") < good).select(*by, "slope", "intercept"), by).where(F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))) <= far).drop("slope", "intercept")
-    second = robust_line(kept, by, x, y, tie, most_err=most_err).where(F.col("n") >= least)
-    second = second.select(*by, *[F.col(c).alias(f"__{c}") for c in ("slope", "intercept", "mad", "n", "conf")])
-    both = first.join(second, by, "left")
-    better = (F.col("__n") < F.col("n")) & (F.col("__conf") >= F.col("conf"))
-    return both.select(*by, *[F.when(better, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("slope", "intercept", "mad", "n", "conf")], F.coalesce(better, F.lit(False)).alias("refitted"))
+def _judged_line(df: DataFrame, by: list[str], x: str, y: str, tie: str, most_err: float, least: int, min_rho: float) -> DataFrame:
+    """A robust line with the points' rank correlation; without enough of that the confidence is 0; groups of too few points have none."""
+    line = robust_line(df, by, x, y, tie, most_err=most_err).where(F.col("n") >= least)
+    rho = spearman(df.select(*by, x, y), by, x, y).select(*by, "rho")
+    return line.join(rho, by).withColumn("conf", F.when(F.col("rho") < min_rho, 0.0).otherwise(F.col("conf")))
+
+
+def _suffixed(line: DataFrame, by: list[str]) -> DataFrame:
+    return line.select(*by, *[F.col(c).alias(f"__{c}") for c in FIT])
+
+
+FIT = ("slope", "intercept", "mad", "n", "conf", "rho")
+
+
+def clean_and_refit(df: DataFrame, by: list[str], x: str, y: str, tie: str, good: float = 0.72, most_err: float = 3.0, least: int = 4, min_rho: float = 0.75, second_hand: str | None = None) -> DataFrame:
+    """A poor fit first loses its second-hand points (a boolean column: labels read from a text layer), then its extreme residuals.
+
+    Poor: confidence below good or rank correlation below min_rho. The first step needs points of both kinds and stays if the
+    confidence rises, or the correlation does at no less confidence (0.1 at least); the second stays if the confidence doesn't fall.
+    A line whose points beyond the outlier distance are a minority that the median hides (MAD 0 and still points that far) is
+    refitted as well, which leaves slope and intercept as they are but for rounding.
+    """
+    far = max(8.0, 3 * most_err)
+    poor = (F.col("conf") < good) | (F.col("rho") < min_rho)
+    points = df
+    first = _judged_line(points, by, x, y, tie, most_err, least, min_rho)
+    if second_hand:
+        kinds = df.groupBy(*by).agg(F.bool_or(second_hand).alias("__s"), F.bool_or(~F.col(second_hand)).alias("__f")).where("__s and __f").select(*by)
+        own = df.join(first.where(poor).select(*by).join(kinds, by), by).where(~F.col(second_hand))
+        alone = _suffixed(_judged_line(own, by, x, y, tie, most_err, least, min_rho), by)
+        gains = (F.col("__conf") > F.col("conf")) | ((F.col("__rho") > F.col("rho")) & (F.col("__conf") >= F.greatest(F.lit(0.1), F.col("conf"))))
+        both = first.join(alone, by, "left").withColumn("__own", F.coalesce(gains, F.lit(False)))
+        first = both.select(*by, *[F.when(F.col("__own"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in FIT], "__own")
+        points = df.join(first.select(*by, "__own"), by).where(~(F.col("__own") & F.col(second_hand))).drop("__own")
+        first = first.drop("__own")
+    asked = first.where(poor | (F.col("mad") == 0)).select(*by, "slope", "intercept")
+    kept = points.join(asked, by).where(F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))) <= far).drop("slope", "intercept")
+    both = first.join(_suffixed(_judged_line(kept, by, x, y, tie, most_err, least, min_rho), by), by, "left")
+    better = F.coalesce((F.col("__n") < F.col("n")) & (F.col("__conf") >= F.col("conf")), F.lit(False))
+    return both.select(*by, *[F.when(better, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in FIT], better.alias("refitted"))
 
 
 def page_offset(df: DataFrame, by: list[str], page: str, unit: str, tolerance: float = 2.0, least: int = 3) -> DataFrame:

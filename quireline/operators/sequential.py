@@ -192,16 +192,19 @@ def align(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """J13 for each group: left and right have pos, no, title; gives (by, left_pos, right_pos, score)."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "left_pos", "right_pos", "score"]
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
         a, b = a.sort_values("pos"), b.sort_values("pos")
         rows = lambda d: [(None if pd.isna(x) else int(x), t or "") for x, t in zip(d["no"], d["title"], strict=True)]
         la, lb = rows(a), rows(b)
         got = sorted(monotone_alignment(la, lb).items())
-        key = [a[c].iloc[0] for c in by]
-        return pd.DataFrame([[*key, a["pos"].iloc[i], b["pos"].iloc[j], similarity(la[i][1].lower(), lb[j][1].lower())] for i, j in got], columns=names)
+        out = {c: pd.Series([a[c].iloc[0]] * len(got), dtype=object) for c in by}  # object: a string column of pandas' own kind comes in chunks
+        out["left_pos"] = pd.Series([int(a["pos"].iloc[i]) for i, _ in got], dtype="int64")
+        out["right_pos"] = pd.Series([int(b["pos"].iloc[j]) for _, j in got], dtype="int64")
+        out["score"] = pd.Series([similarity(la[i][1].lower(), lb[j][1].lower()) for i, j in got], dtype="float64")
+        return pd.DataFrame(out)
 
+    names = [*by, "left_pos", "right_pos", "score"]
     right = right.toDF(*right.columns)  # both sides may come from one table
     schema = ", ".join([*(f"{c} {left.schema[c].dataType.simpleString()}" for c in by), "left_pos long", "right_pos long", "score double"])
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)

@@ -28,7 +28,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
     """One row with a table of at most a few summary rows; numbers have three decimals."""
     kinds = dict(df.dtypes)
-    cell = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+    cell = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |"))
     head = f"| {' | '.join(df.columns)} |\n|{'|'.join(' --- ' for _ in df.columns)}|\n"
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("__row")))), lambda x: x["__row"])

@@ -5,29 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.joins import upsert
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table as of its last complete version, or None before the first."""
-    try:
-        version = spark.read.text(f"{path}/_current", wholetext=True).first()["value"].strip()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{path}/v={version}")
+def _versions(spark: SparkSession, path: str) -> dict[int, object]:
+    """Complete versions: those whose writer has left its mark, which it does last."""
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    listed = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    folders = [s.getPath().getParent() for s in listed or []]
+    return {int(f.getName().partition("=")[2]): f for f in folders}
 
 
-def merge_batch(path: str, keys: list[str], order: list[str]):
-    """For foreachBatch: writes a new version with the batch merged in, then points to it; a batch that runs twice gives the same table."""
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table as of its last complete version (before an epoch, if asked), or None where there is none."""
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={max(known)}") if known else None
+
+
+def merge_batch(path: str, keys: list[str], order: list[str], keep: int = 3):
+    """For foreachBatch: writes a new version with the batch merged into the last one before it.
+
+    A version counts from the moment it is whole, so a crash at any point leaves the one before; a batch that runs twice gives the
+    same table. All but the last few versions are removed afterwards.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = current(spark, path)
+        old = current(spark, path, epoch)
         merged = upsert(old if old is not None else batch.limit(0), batch, keys, order)
         merged.write.mode("overwrite").parquet(f"{path}/v={epoch}")
-        spark.createDataFrame([(str(epoch),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+        versions = _versions(spark, path)
+        for v in sorted(versions)[:-keep]:
+            versions[v].getFileSystem(spark._jsc.hadoopConfiguration()).delete(versions[v], True)
 
     return run
 

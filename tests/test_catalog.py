@@ -57,8 +57,10 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_entry_without_the_optional_parts(tmp_path):
-    """The library and its entry work where the training-data folders and the pipeline were taken out."""
+@pytest.mark.parametrize("pipeline_left", [False, True])
+def test_entry_without_the_optional_parts(tmp_path, pipeline_left):
+    """The library and its entry work where the training-data folders were taken out, with or without the pipeline."""
+    import os
     import shutil
     import subprocess
     import sys
@@ -67,5 +69,7 @@ def test_entry_without_the_optional_parts(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "quireline", tmp_path / "quireline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'mode_summary' in q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    if pipeline_left and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'mode_summary' in q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
