@@ -28,10 +28,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and rereads it: lineage ends here, and lost executors cost nothing before it."""
-    path = shared_path(df.sparkSession, name)
+    """Writes a table into the shared folder and rereads it: lineage ends here, and lost executors cost nothing before it.
+
+    The table goes when the driver ends; results that are read lazily may need it until then.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a side of a join that may be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for sending to all tasks if its bytes, which are counted, are within the bound; else it stays for a shuffled join.
+
+    Numbers count 16 bytes (value and place in the table), texts and binaries their own besides.
+    """
+    wide = [F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    lists = [F.coalesce(8 * F.greatest(F.size(quoted(f.name)), F.lit(0)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString().startswith("array")]
+    row = sum([*wide, *lists], F.lit(16 * len(df.columns)))
+    size = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if size <= most else df
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:

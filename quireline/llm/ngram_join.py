@@ -11,15 +11,24 @@ Texts with the same shingle set form a class; classes are joined, not copies.
    ordered rare first. The first n - ceil(t*n) + 1 shingles are its prefix: two
    similar sets share one there (prefix filter).
 3. In every posting list of a prefix shingle, all sets first meet one hub (the one
-   with the fewest shingles of its own), which costs one pair for each entry. Pairs pass the length, positional and suffix
-   filters (the last bounds the overlap of what follows by counts in hash bands)
-   before each is verified once on the full sets.
-4. Linked sets become components. What is left are pairs inside a list whose ends
-   are in different components; they pass the same filters and are verified too.
-   A list whose sets are all linked through its hub leaves none, so groups of near
-   copies cost their size, not its square; no link between components is lost.
-5. Where links are counted, all pairs of a list whose ends are in one component pass
-   the same filters and are verified: that does cost a group's square.
+   with the least sum of its size and the shingles that no other set has), which
+   costs one pair for each entry. Pairs pass the length, positional and suffix filters
+   (the last bounds the overlap of what follows by counts in hash bands) before
+   each is verified once on the shingles that more than one set has.
+4. Linked sets become components. In lists that still hold several, the overlap o of
+   each set with the hub is known, and the rest r of the set outside it. Two sets of
+   different components are not both linked to the hub. If they are similar, either
+   they share a shingle outside the hub, at least as many as the unlinked one lacks
+   in o, so they meet on the rare-first prefix of its rest; or the hub covers all they
+   share, and then one of them is smaller than the hub. Both joins take place within
+   a hub's sets. So groups of near copies cost their size, not its square, pairs of a
+   list are never all formed, and no link between components is lost.
+5. Where links are counted, the sets of each component are dealt into blocks, and
+   each pair of blocks counts in one task by products of 0/1 matrices. No pair
+   becomes a row. The products do cost the square of a component's size.
+
+Shingles are compared by 64-bit hashes throughout, so results are exact as long as
+no two shingles of a comparison share a hash.
 
 Defined results: null texts and texts without words have the empty set, are
 linked with nothing and are their own component; texts with fewer words than n
@@ -36,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, stored
+from .common import bounded, fresh, row_key, small_batches, stored
 
 BANDS = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,30 +153,41 @@ def with_possible_partner(read: DataFrame) -> DataFrame:
     return own.join(company, "rk", "left").where((F.col("need") <= 0) | (F.col("met") >= F.col("need"))).select("set_key").distinct()
 
 
-def _bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Sent to all tasks only up to a number of rows; larger sides are shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, comp): comp is the least node reachable. Rounds of taking neighbours' least labels, with pointer jumping."""
-    edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
-    labels = stored(nodes.select("node", F.col("node").alias("comp")), "labels")
-    if edges.isEmpty():
-        return labels
-    for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        # the least label a component's members have seen goes to all that carry its old label
-        best = step.groupBy("old").agg(F.min("comp").alias("best"))
-        new = stored(step.join(best, "old").select("node", "old", F.least("comp", "best").alias("comp")), "labels")
-        jump = new.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = stored(new.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        moved = new.where("old <> comp").limit(1).count()
-        labels = new.select("node", "comp")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def components(nodes: DataFrame | None, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, comp): comp is the least node reachable over the links (a, b); nodes without links are their own.
+
+    Rounds of contraction: every node points to the least of its neighbours and itself in an order by hash, pointers are followed
+    once more, and what is left are links between the nodes pointed to. Ends when no link is left.
+    """
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stored(links.select("a", "b").where("a <> b").distinct(), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for k in range(most_rounds + 1):
+        if edges.isEmpty():
+            break
+        if k == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("v"))
+        least = both(edges).groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to"))
+        further = least.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        point = stored(least.join(further, "to").select("a", F.col("further").alias("to")), "pointers")
+        named = edges.join(point, "a").select(F.col("to").alias("a"), "b").join(point.withColumnRenamed("a", "b").withColumnRenamed("to", "tb"), "b")
+        edges = stored(named.select("a", F.col("tb").alias("b")).where("a <> b").distinct(), "edges")
+        labels = labels.join(point.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    labels = stored(labels, "labels")
+    found = labels.join(labels.groupBy("root").agg(F.min("node").alias("comp")), "root").select("node", "comp")
+    if nodes is None:
+        return found
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _need(a, b, percent: int):
+    """The least overlap at which sets of these sizes are similar."""
+    return F.ceil((a + b) * percent / (100 + percent))
+
+
+def _like_sizes(a, b, percent: int):
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
@@ -176,22 +196,118 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     n is the set's size, k how many of its shingles no other set has (they come first and are never shared), i the place of
     the common prefix shingle. So what comes before it holds at most i - k common ones, and what follows at most n - i.
     """
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    length = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    need = _need(F.col("na"), F.col("nb"), percent)
     before = F.least(F.col("ia") - F.col("ka"), F.col("ib") - F.col("kb"))
     positional = before + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
     apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     suffix = apart <= F.col("na") + F.col("nb") - 2 * need
-    return pairs.where(length & positional & suffix)
+    return pairs.where(_like_sizes(F.col("na"), F.col("nb"), percent) & positional & suffix)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b), a < b, whose sets are similar: each is worked out once."""
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = once.join(sets.select(F.col("rk").alias("a"), F.col("hs").alias("sa")), "a")
-    both = left.join(sets.select(F.col("rk").alias("b"), F.col("hs").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), shared.alias("shared")).where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
+    left = once.join(placed.select(F.col("rk").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa")), "a")
+    both = left.join(placed.select(F.col("rk").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob")), "b")
+    return both.where(F.size(F.array_intersect("oa", "ob")) >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
+def _postings(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rk, n, bands, k, tight, o): o are the shingles of more than one set, rare first; (h, rk, ..., i, hub) of the prefixes.
+
+    A set can share n - k shingles at most; if that is too few for partners of its own size and larger ones, it is loose, and
+    two loose sets never link (each would have to be the smaller one): every pair has a tight end.
+    """
+    every = sets.select("rk", F.explode("hs").alias("h"))
+    shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    placed = every.join(shared, "h").groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("df", "h")))["h"].alias("o"))
+    placed = placed.join(sets.select("rk", "n", "bands"), "rk").withColumn("k", F.col("n") - F.size("o"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    tight = F.floor((F.col("n") - F.col("k")) * (100 + percent) / percent) >= 2 * F.col("n")
+    placed = stored(placed.withColumn("take", prefix - F.col("k")).where("take > 0").withColumn("tight", tight), "placed")
+    post = placed.select("rk", "n", "bands", "tight", "k", F.posexplode(F.slice("o", F.lit(1), F.col("take"))).alias("i", "h")).withColumn("i", F.col("i") + F.col("k"))
+    hub = F.min(F.struct((F.col("n") + F.col("k")).alias("cost"), "rk", "n", "k", "i", "bands", "tight")).alias("hub")
+    hubs = post.groupBy("h").agg(hub, F.count("*").alias("held")).where("held > 1").drop("held")
+    return placed, stored(post.join(hubs, "h"), "postings")
+
+
+def _beyond_hubs(post: DataFrame, comp: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar and are in a list together, neither being its hub; see step 4."""
+    named = post.join(comp.withColumnRenamed("node", "rk"), "rk", "left").withColumn("comp", F.coalesce("comp", "rk"))
+    open_lists = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bool_or("tight").alias("any_tight")).where("c1 <> c2 and any_tight").select("h")
+    members = stored(named.join(open_lists, "h").select(F.col("hub.rk").alias("p"), F.col("hub.n").alias("np"), "rk", "n", "tight", "comp").distinct(), "open-members")
+    least = members.groupBy("p").agg(F.min("n").alias("least"))
+    shown = members.where("rk <> p").join(least, "p").join(placed.select("rk", "o"), "rk").join(placed.select(F.col("rk").alias("p"), F.col("o").alias("op")), "p")
+    shown = shown.select("p", "np", "least", "rk", "n", "tight", "comp", F.size(F.array_intersect("o", "op")).alias("o"), F.array_except("o", "op").alias("rest")).withColumn("r", F.size("rest"))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    lacks = (_need(F.col("n"), smallest, percent) - F.col("o")).cast("int")
+    linked = F.col("o") >= _need(F.col("n"), F.col("np"), percent)
+    shown = stored(shown.withColumn("lacks", lacks).withColumn("linked", linked), "beside-hubs")
+    x = lambda *more: shown.select("p", "rk", "n", "tight", "comp", "o", "r", *more)
+    one = lambda d, s: d.select("p", *[F.col(c).alias(f"{c}{s}") for c in ("rk", "n", "tight", "comp", "o", "r")], *[c for c in d.columns if c == "h"])
+    unlinked = shown.where(~F.col("linked") & (F.col("lacks") <= F.col("r")))
+    probes = unlinked.select("p", "rk", "n", "tight", "comp", "o", "r", F.explode(F.slice("rest", F.lit(1), F.col("r") - F.greatest("lacks", F.lit(1)) + 1)).alias("h"))
+    need = _need(F.col("na"), F.col("nb"), percent)
+    may = (F.col("compa") != F.col("compb")) & (F.col("tighta") | F.col("tightb")) & _like_sizes(F.col("na"), F.col("nb"), percent)
+    outside = one(probes, "a").join(one(x(F.explode("rest").alias("h")), "b"), ["p", "h"]).where(may & (F.least("oa", "ob") + F.least("ra", "rb") >= need))
+    covered = one(unlinked.where("lacks <= 0"), "a").join(one(shown.where("n < np"), "b"), "p").where(may & (F.least("oa", "ob") >= need))
+    return outside.select(F.col("rka").alias("a"), F.col("rkb").alias("b")).unionByName(covered.select(F.col("rka").alias("a"), F.col("rkb").alias("b")))
+
+
+#: Sets and shingles of a block in which links are counted.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
+
+
+def _overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Overlaps of the sets at left with those at right, by products over width shingles at a time."""
+    at = np.repeat(np.arange(len(rows)), [r.size for r in rows])
+    _, code, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    held = count[code] > 1
+    at, code = at[held], new[code[held]]
+    order = np.argsort(code, kind="stable")
+    at, code = at[order], code[order]
+    out = np.zeros((left.size, right.size), dtype=np.float32)
+    for start in range(0, int(code[-1]) + 1 if code.size else 0, width):
+        lo, hi = np.searchsorted(code, [start, start + width])
+        m = np.zeros((len(rows), min(width, int(code[hi - 1]) - start + 1)), dtype=np.float32)
+        m[at[lo:hi], code[lo:hi] - start] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _links_of(comp: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(rep, n_links): for each set in a component of several, how many others it is linked to."""
+    sets = comp.join(placed.select(F.col("rk").alias("node"), "n", "o"), "node")
+    size = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.size("o").cast("long")).alias("s"))
+    size = stored(size.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"), "s"), "component-sizes")
+    units = 1 + (size.where("blocks = 1").agg(F.sum("s")).first()[0] or 0) // BLOCK_SHINGLES
+    dealt = sets.join(size.drop("s"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(units))).otherwise(F.col("comp"))
+    dealt = dealt.select(unit.alias("unit"), (F.col("blocks") > 1).alias("split"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "block", F.col("node").alias("rep"), "n", "o")
+
+    def count(t: pa.Table) -> pa.Table:
+        comps, blocks = t.column("comp").to_numpy(), t.column("block").to_numpy()
+        n, i, j = t.column("n").to_numpy().astype(np.int64), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        lists = t.column("o").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        out = np.zeros(t.num_rows, dtype=np.int64)
+        order = np.argsort(comps, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(comps[order])) + 1):
+            rows = [values[ends[r] : ends[r + 1]] for r in own]
+            left, right = np.flatnonzero(blocks[own] == i), np.flatnonzero(blocks[own] == j)
+            both = _overlaps(rows, left, right)
+            like = both * 100 >= (n[own[left]][:, None] + n[own[right]][None] - both) * percent
+            if i == j:
+                np.fill_diagonal(like, False)
+            else:
+                out[own[right]] = like.sum(0)
+            out[own[left]] = like.sum(1)
+        return pa.table({"rep": t.column("rep"), "c": pa.array(out)})
+
+    counted = dealt.groupBy("unit", "split", "i", "j").applyInArrow(count, "rep long, c long")
+    return counted.groupBy("rep").agg(F.sum("c").alias("n_links"))
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float | None = None, count_links: bool = False) -> DataFrame:
@@ -208,48 +324,22 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float
     classes = read.where("set_key is not null").groupBy("set_key").agg(F.min("rk").alias("rep"), F.min("doc_id").alias("least_id"))
     classes = stored(classes, "classes")
     pool = stored(classes.join(with_possible_partner(read), "set_key", "left_semi").select(F.col("rep").alias("rk")), "pool")
-    sets = stored(full_sets(base.join(_bounded(pool), "rk").dropDuplicates(["rk"]).select("rk", "text"), n), "sets")
-    sizes = sets.select("rk", "n", "bands")
-    # rare first: shingles of one class alone come first of all, so only their number matters
-    every = sets.select("rk", F.explode("hs").alias("h"))
-    shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    placed = every.join(shared, "h").groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    placed = placed.join(sizes, "rk").withColumn("alone", F.col("n") - F.size("o"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    placed = placed.withColumn("take", prefix - F.col("alone")).where("take > 0")
-    # a set can share n - k shingles at most; if that is too few for partners of its own size and larger ones, it is loose, and
-    # two loose sets never link (each would have to be the smaller one): every pair has a tight end
-    tight = F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent) >= 2 * F.col("n")
-    post = placed.withColumn("tight", tight).select("rk", "n", "bands", "tight", F.col("alone").alias("k"), F.posexplode(F.slice("o", F.lit(1), F.col("take"))).alias("i", "x"))
-    post = post.select("rk", "n", "bands", "tight", "k", (F.col("i") + F.col("k")).alias("i"), F.col("x.h").alias("h"))
-    hubs = post.groupBy("h").agg(F.min(F.struct("k", "rk", "n", "i", "bands", "tight")).alias("hub"), F.count("*").alias("held")).where("held > 1")
-    post = stored(post.join(hubs, "h").drop("held"), "postings")
-    star = post.where("rk <> hub.rk and (tight or hub.tight)").selectExpr("h", "hub.rk as a", "hub.n as na", "hub.k as ka", "hub.i as ia", "hub.bands as ba", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb")
-    links = stored(_verified(_filtered(star, percent), sets, percent), "links")
-    nodes = pool.select(F.col("rk").alias("node"))
-    comp = components(nodes, links)
-    # pairs of a list that are in different components and not the hub's own
-    named = post.where("rk <> hub.rk").join(comp.withColumnRenamed("node", "rk"), "rk").select("h", "rk", "n", "k", "i", "bands", "tight", "comp")
-    open_lists = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bool_or("tight").alias("any_tight")).where("c1 <> c2 and any_tight").select("h")
-    named = stored(named.join(open_lists, "h"), "open-postings")
-    x = named.where("tight").selectExpr("h", "rk as a", "n as na", "k as ka", "i as ia", "bands as ba", "comp as ca")
-    y = named.selectExpr("h", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb", "comp as cb", "tight as tb")
-    cross = _filtered(x.join(y, "h").where("ca <> cb and (a < b or not tb)"), percent)
-    more = stored(_verified(cross, sets, percent), "links")
+    sets = stored(full_sets(base.join(bounded(pool), "rk").dropDuplicates(["rk"]).select("rk", "text"), n), "sets")
+    placed, post = _postings(sets, percent)
+    star = post.where("rk <> hub.rk and (tight or hub.tight)").selectExpr("hub.rk as a", "hub.n as na", "hub.k as ka", "hub.i as ia", "hub.bands as ba", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb")
+    links = stored(_verified(_filtered(star, percent), placed, percent), "links")
+    comp = components(None, links)
+    more = stored(_verified(_beyond_hubs(post, comp, placed, percent), placed, percent), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comp = components(nodes, links)
-    if count_links:
-        inside = stored(post.join(comp.withColumnRenamed("node", "rk"), "rk").select("h", "rk", "n", "k", "i", "bands", "tight", "comp"), "inner-postings")
-        x = inside.where("tight").selectExpr("h", "comp", "rk as a", "n as na", "k as ka", "i as ia", "bands as ba")
-        y = inside.selectExpr("h", "comp", "rk as b", "n as nb", "k as kb", "i as ib", "bands as bb", "tight as tb")
-        links = stored(_verified(_filtered(x.join(y, ["h", "comp"]).where("a <> b and (a < b or not tb)"), percent), sets, percent), "links")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").count()
+        comp = components(None, links.unionByName(more))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    answer = named.join(least, "comp").join(degree, "rep", "left").select("set_key", "component_id", F.coalesce("count", F.lit(0)).alias("n_links"))
-    out = read.select("rk", "doc_id", F.col("n").alias("n_shingles"), "set_key").join(answer, "set_key", "left")
-    return out.select("rk", "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
+    answer = named.join(least, "comp")
+    if count_links:
+        answer = answer.join(_links_of(comp, placed, percent), "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    extra = ["n_links"] if count_links else []
+    out = read.select("rk", "doc_id", F.col("n").alias("n_shingles"), "set_key").join(answer.select("set_key", "component_id", *extra), "set_key", "left")
+    return out.select("rk", "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in extra])
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -259,5 +349,6 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the component's least id; rows with the empty set, and repeats of the kept row's id and text, as they are."""
     found = join_components(docs, n, percent)
-    drop = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("__rk")).distinct()
-    return docs.withColumn("__rk", row_key("doc_id", "text")).join(drop, "__rk", "left_anti").drop("__rk")
+    key = fresh(docs, "rk")
+    drop = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(drop, key, "left_anti").drop(key)

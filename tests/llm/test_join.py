@@ -84,3 +84,62 @@ def test_components_of_a_chain(spark):
 
 def test_empty(spark):
     assert N.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def crowded(rng, n):
+    """Near copies with up to many edits, and unrelated texts around one long common passage with few words of their own."""
+    v = [f"w{i}" for i in range(4000)]
+    words = lambda k: [rng.choice(v) for _ in range(k)]
+    base, passage = words(110), words(100)
+    texts = []
+    for _ in range(120):
+        d = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 12])):
+            k = rng.randrange(len(d))
+            d[k : k + rng.choice([0, 1, 1, 2])] = [rng.choice(v[:6])]
+        texts.append(" ".join(d))
+    for _ in range(120):
+        cut = rng.choice([0, 0, 2, 5])
+        texts.append(" ".join(words(rng.choice([1, 3, 6, 12, 20])) + passage[cut:] + words(rng.choice([0, 2, 7, 15]))))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_crowded_lists_equal_brute_force(spark, rng, n, percent):
+    data = crowded(rng, n)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.join_components(df, n, percent).collect()), key=str)
+    want = brute(data, n, percent)
+    assert got == want
+    assert 3 < len({c for _, _, c in want}) < len(data)
+
+
+def test_pairs_beyond_hubs_are_few(spark, rng):
+    data = crowded(rng, 5)
+    df = spark.createDataFrame(data, "rk long, text string")
+    placed, post = N._postings(N.full_sets(df, 5), 80)
+    none = spark.createDataFrame([], "node long, comp long")
+    entries = post.where("rk <> hub.rk").select("hub.rk", "rk").distinct().count()
+    assert N._beyond_hubs(post, none, placed, 80).distinct().count() < 4 * entries
+
+
+def test_overlaps_in_narrow_steps(rng):
+    import numpy as np
+
+    rows = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40)))) for _ in range(30)]
+    left, right = np.arange(0, 30, 2), np.arange(1, 30, 2)
+    got = N._overlaps(rows, left, right, width=7)
+    assert got.tolist() == [[len(set(rows[a].tolist()) & set(rows[b].tolist())) for b in right] for a in left]
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_links_are_counted_in_blocks(spark, rng, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_SETS", block)
+    data = crowded(rng, 5)[:60]
+    w = [t.split() for _, t in data]
+    sets = {}
+    for (doc, _), words in zip(data, w, strict=True):
+        sets.setdefault(frozenset(tuple(words[j : j + 5]) for j in range(len(words) - 4)), []).append(doc)
+    want = sorted((doc, sum(a != b and len(a & b) * 100 >= 80 * len(a | b) for b in sets)) for a, docs in sets.items() for doc in docs)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_links"]) for r in N.join_components(df, 5, 80, count_links=True).collect()) == want
