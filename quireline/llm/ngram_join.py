@@ -235,7 +235,7 @@ def _beyond_hubs(post: DataFrame, comp: DataFrame, placed: DataFrame, percent: i
     """Pairs (a, b) of different components that may be similar and are in a list together, neither being its hub; see step 4."""
     named = post.join(comp.withColumnRenamed("node", "rk"), "rk", "left").withColumn("comp", F.coalesce("comp", "rk"))
     open_lists = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bool_or("tight").alias("any_tight")).where("c1 <> c2 and any_tight").select("h")
-    members = stored(named.join(open_lists, "h").select(F.col("hub.rk").alias("p"), F.col("hub.n").alias("np"), "rk", "n", "tight", "comp").distinct(), "open-members")
+    members = stored(named.join(bounded(stored(open_lists, "open-lists")), "h").select(F.col("hub.rk").alias("p"), F.col("hub.n").alias("np"), "rk", "n", "tight", "comp").distinct(), "open-members")
     least = members.groupBy("p").agg(F.min("n").alias("least"))
     shown = members.where("rk <> p").join(least, "p").join(placed.select("rk", "o"), "rk").join(placed.select(F.col("rk").alias("p"), F.col("o").alias("op")), "p")
     shown = shown.select("p", "np", "least", "rk", "n", "tight", "comp", F.size(F.array_intersect("o", "op")).alias("o"), F.array_except("o", "op").alias("rest")).withColumn("r", F.size("rest"))

@@ -181,12 +181,28 @@ def test_groups_of_documents_by_place_or_beside(spark, rng):
         for p, b in docs:
             near = [g for g in groups if any(p == q or b == c for q, c in g)]
             groups = [g for g in groups if g not in near] + [[(p, b), *[x for g in near for x in g]]]
-        rows += [(k, p, b) for p, b in docs]
-        want |= {k} if len(groups) >= 3 else set()
-    got = line_templates._unrelated(spark.createDataFrame(rows, "k int, place int, beside long"), ["k"], 3)
+        rows += [(k, k % 2 == 0, p, b) for p, b in docs]
+        want |= {k} if len(groups) >= 3 and (k % 2 == 0 or len(groups) * 3 >= size) else set()
+    one = spark.createDataFrame(rows, "k int, sure boolean, place int, beside long")
+    got = line_templates._unrelated(one, one.groupBy("k", "sure").agg(F.count("*").alias("docs")), ["k"], 3)
     assert sorted(r["k"] for r in got.collect()) == sorted(want) and 0 < len(want) < 60
 
 
+def test_a_hot_group_of_short_copies_keeps_its_lines(spark, rng):
+    words = [f"w{i:03}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(900)]
+    base = [[rng.choice(words) for _ in range(70)] for _ in range(2)]
+    rows = [(i, "\n".join(" ".join(x) for x in base)) for i in range(30)]
+    for i in range(30, 300):
+        mine = [list(x) for x in base]
+        for _ in range(rng.randrange(12)):
+            x = rng.choice(mine)
+            at = rng.randrange(len(x))
+            x[at : at + rng.choice([0, 1, 1, 2])] = [rng.choice(words)]
+        rows.append((i, "\n".join(" ".join(x) for x in mine)))
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
 def test_lines_without_blanks_recur_too(spark, prose, rng):
     common, numbered = "本网站所载内容未经书面授权不得以任何形式转载或摘编", "版权所有者为本站第{}号编辑部并保留一切权利以及解释权"
     docs = []
