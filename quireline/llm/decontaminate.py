@@ -24,17 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import bounded, fresh, row_key, stored
 
 WORDS = 5
 #: Containment in percent.
 LEAST = 80
-#: Rows up to which a side of a join is sent to all tasks; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:
@@ -77,20 +71,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataF
     base = docs.select(row_key("doc_id", "text").alias("rk"), "doc_id", "text")
     spots = _spots(base.select("rk", words(F.col("text")).alias("w")), "rk")
     probes = spots.select("rk", F.xxhash64(*_parts()).alias("h"), F.greatest(F.size("w") - WORDS + 1, F.lit(1)).alias("n_doc"))
-    hits = probes.join(_bounded(sketch), "h").where(F.col("n_doc") >= F.col("least_doc"))
+    hits = probes.join(bounded(sketch), "h").where(F.col("n_doc") >= F.col("least_doc"))
     candidates = hits.groupBy("rk", "item_id", "need", "h").count().groupBy("rk", "item_id", "need").count().where(F.col("count") >= F.col("need"))
     candidates = stored(candidates.select("rk", "item_id"), "contamination-candidates")
-    found = base.join(_bounded(candidates.select("rk").distinct()), "rk").dropDuplicates(["rk"])
+    found = base.join(bounded(candidates.select("rk").distinct()), "rk").dropDuplicates(["rk"])
     exact = _spots(found.select("rk", "doc_id", words(F.col("text")).alias("w")), "rk", "doc_id").select("rk", "doc_id", F.concat_ws(" ", *_parts()).alias("s"))
-    held = exact.join(_bounded(shingles), "s").select("rk", "doc_id", "item_id", "n", "s").distinct().groupBy("rk", "doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    held = exact.join(bounded(shingles), "s").select("rk", "doc_id", "item_id", "n", "s").distinct().groupBy("rk", "doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
     held = held.join(candidates, ["rk", "item_id"], "left_semi").where(F.col("n_shared") * 100 >= F.col("n") * least)
     return held.select("rk", "doc_id", "item_id", F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    bad = contaminated(docs, items, least).select(F.col("rk").alias("__rk")).distinct()
-    return docs.withColumn("__rk", row_key("doc_id", "text")).join(bad, "__rk", "left_anti").drop("__rk")
+    key = fresh(docs, "rk")
+    bad = stored(contaminated(docs, items, least).select(F.col("rk").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bounded(bad), key, "left_anti").drop(key)
 
 
 def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:

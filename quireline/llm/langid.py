@@ -21,14 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, quoted, small_batches
 
 DIM = 4096
-LETTER = re.compile(r"[^\W\d_]")
+#: Runs of letters, and of numerals such as one half or superscript two, which are none.
+ALNUM = re.compile(r"[^\W\d_]+")
 #: Bytes that separate words count as one blank: ASCII other than letters.
 BYTES = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], dtype=np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in ALNUM.finditer(text) for c in m[0])
+
+
 def features(text: str) -> np.ndarray:
     """Roots of the hashed counts of byte pairs and triples of the lower-cased text, of length 1."""
     a = BYTES[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), dtype=np.uint8)]
@@ -123,18 +128,21 @@ def learn(labelled: DataFrame, sample_docs: int = 3000) -> Model:
     return fit(x, langs)
 
 
+NEW = ("lang_pred", "score", "runner_up", "ambiguous")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lead: float = 0.2) -> DataFrame:
-    """docs with lang_pred, score, runner_up and ambiguous (the two best scores are less than lead apart)."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "runner_up", "ambiguous")]
+    """docs with lang_pred, score, runner_up and ambiguous (the two best scores are less than lead apart); own columns of these names are replaced."""
+    own = [c for c in docs.columns if c.lower() not in NEW]
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("runner_up", "string").add("ambiguous", "boolean")
+    schema = docs.select(*map(quoted, own)).schema.add("lang_pred", "string").add("score", "double").add("runner_up", "string").add("ambiguous", "boolean")
 
     def predict(batches):
         m = held.value
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            known = [i for i, t in enumerate(texts) if t is not None and m.langs and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if t is not None and m.langs and has_letter(t)]
             lang, score, second, unsure = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)
             for i in range(0, len(known), 128):
                 part = known[i : i + 128]
@@ -149,10 +157,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lead: float
                     else:
                         unsure[j] = False
             kept = [b.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], names=[*own, "lang_pred", "score", "runner_up", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], names=[*own, *NEW])
 
     small_batches(spark)
-    return docs.select(*own).mapInArrow(predict, schema)
+    return docs.select(*map(quoted, own)).mapInArrow(predict, schema)
 
 
 def held_out(parts: int = 4, part: int = 2):

@@ -114,7 +114,7 @@ def recurring(lines: DataFrame, min_docs: int, similarity: float, most_variable:
     cells = split.select("leaf", F.posexplode(F.split("tpl", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("c"))
     column = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("most"), F.sum("c").alias("all"))
     column = column.select("leaf", "at", F.when((F.col("most") > 1) & (F.col("most") * 2 >= F.col("all")), F.col("token")).otherwise("<*>").alias("token"))
-    pattern = column.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("pattern"))
+    pattern = bounded(stored(column.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("pattern")), "line-patterns"))
     alike = F.size(F.filter(F.zip_with(F.split("tpl", " "), "pattern", lambda a, b: (a == b) & (b != "<*>")), lambda x: x))
     merged = split.join(pattern, "leaf").where((alike >= similarity * F.size("pattern")) & (F.size("pattern") - alike <= most_variable)).select("leaf", "th", F.xxhash64("leaf", "pattern").alias("merged"))
     kept = lines.drop("tpl").join(bounded(busy.select("leaf")), "leaf").join(bounded(stored(merged, "line-merged")), ["leaf", "th"], "left")

@@ -5,15 +5,17 @@ each domain. Nonnegative rates are then fitted, one a document, such that the
 expected domain token totals (rate x tokens x probability, summed) match the
 targets: a least-squares problem with a small pull towards rate 1, solved by
 projected gradient steps. A step needs the residual of each domain only, so an
-iteration is one aggregation; a document's rate is worked out anew from the
-residuals so far, and no state is kept for it between iterations.
+iteration is one aggregation; a document's rate follows from one value for each
+domain, and no state is kept for it between iterations.
 
 Domains are ``toxic`` (whatever the quality), ``poor`` (quality 0) and ``clean``.
 
 Defined results: a null or empty text has no tokens and the labelled rows' class
 shares as probabilities; labels that are null or of unknown documents are
 ignored; with no labels every document is clean; rows that repeat are rated
-alike; an empty table gives an empty table.
+alike, and ties in a domain's word list go to the word first by its bytes; very long
+texts count whole; targets out of reach give the nearest totals and targets_met
+false; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import quoted, small_batches, stored
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of the tokens that the mixture should hold.
@@ -136,8 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, words_k
             yield pa.RecordBatch.from_arrays([b.column("domain"), pa.array(out, pa.binary())], names=["domain", "x"])
 
     got = picked.mapInArrow(encode, "domain string, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float32).reshape(got.num_rows, -1)
+    held.unpersist()
     at = np.array([DOMAINS.index(d) for d in got.column("domain").to_pylist()])
+    x = np.empty((got.num_rows, len(vocabulary) + SHAPE + 1), dtype=np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), dtype=np.float32)
+    del got
     return Classifier(vocabulary, _softmax(x, at, prior), prior)
 
 
@@ -165,7 +171,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame
     """keep, n_tokens and p_<domain> for each row."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
     small_batches(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("n_tokens", "long")
+    schema = docs.select(*map(quoted, keep)).schema.add("n_tokens", "long")
     for d in DOMAINS:
         schema = schema.add(f"p_{d}", "double")
 
@@ -174,90 +180,96 @@ def posteriors(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame
             p, n = held.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n), *(pa.array(p[:, j]) for j in range(len(DOMAINS)))], names=[*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*map(quoted, dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema)
 
 
-def _rate(steps: list[list[float]], pull: float) -> Column:
-    """A rate from the steps so far: each adds -step*gradient and is cut off at 0; a fold over a short literal."""
-    rate = F.lit(1.0)
-    if not steps:
-        return rate
-    # r <- max(0, r + pull*(1 - r) - sum_d p_d*y_d): the fold keeps one double a document
-    table = F.split(F.lit(";".join(",".join(repr(float(v)) for v in s) for s in steps)), ";")
-    parsed = F.transform(table, lambda s: F.split(s, ",").cast("array<double>"))
-    move = lambda y: sum((F.col(f"p_{d}") * F.element_at(y, j + 1) for j, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(parsed, rate, lambda r, y: F.greatest(F.lit(0.0), r + F.lit(pull) * (1 - r) - move(y)))
+def _moments(stats: DataFrame, dual: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of all tokens that the domains get at these dual values, and their derivative (negated): one aggregation."""
+    names = [f"p_{d}" for d in DOMAINS]
+    k = len(names)
+    weight = F.col("n_tokens") * _rate(dual)
+    kept = F.when(weight > 0, F.col("n_tokens"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    got = stats.agg(*[F.sum(weight * F.col(c)).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(kept * F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((k, k))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = (got[f"g{i}_{j}"] or 0.0) / total
+    return np.array([(got[f"s{i}"] or 0.0) / total for i in range(k)]), gram
 
 
-def _totals(stats: DataFrame, steps: list[list[float]], pull: float) -> np.ndarray:
-    """Sums of rate x tokens x probability for each domain, with the rates that the steps so far give; whole batches at a time."""
-    names = [f"p_{d}" for d in DOMAINS]
+def _rate(dual: np.ndarray) -> Column:
+    """The projection to nonnegative rates of what the gradients have summed up to."""
+    return F.greatest(F.lit(0.0), sum((F.col(f"p_{d}") * F.lit(-float(y)) for d, y in zip(DOMAINS, dual, strict=True)), F.lit(1.0)))
 
-    def run(batches):
-        total = np.zeros(len(names))
-        for b in batches:
-            p = np.column_stack([b.column(c).to_numpy() for c in names])
-            r = np.ones(len(p))
-            for y in steps:
-                r = np.maximum(0.0, r + pull * (1 - r) - p @ np.array(y))
-            total += (r * b.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
-    got = stats.select("n_tokens", *names).mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
-    return np.array([float(v or 0) for v in got])
+class Fit:
+    """rate: a column on the fitted rows; shares: what the domains reach; met: whether all are within tolerance; iterations."""
 
+    def __init__(self, rate: Column, shares: dict[str, float], met: bool, iterations: int):
+        self.rate, self.shares, self.met, self.iterations = rate, shares, met, iterations
 
-def fit_rates(stats: DataFrame, targets: dict[str, float], iterations: int = 40, pull: float = 0.01, tolerance: float = 0.002) -> tuple[Column, dict[str, float]]:
-    """(rate as a column on stats, shares reached). stats has n_tokens and p_<domain>.
+
+def fit_rates(stats: DataFrame, targets: dict[str, float], iterations: int = 40, pull: float = 1e-4, least_pull: float = 1e-10, tolerance: float = 0.002) -> Fit:
+    """Nonnegative rates whose expected domain totals are nearest to the targets. stats has n_tokens and p_<domain>.
 
     Minimises half the weighted squares of the domain totals' residuals (as shares of all tokens) plus pull/2 times the token-weighted
-    squared distance of the rates from 1. A domain's weight is the inverse of its own curvature, so that a small domain counts as a large
-    one does. In the token-weighted metric a document's gradient is sum_d p_d * weight_d * residual_d + pull * (rate - 1): a step needs the
-    residuals alone. Ends when every total is within tolerance of its target, relative to the larger of target and 0.01.
+    squared distance of the rates from 1; a domain's weight is the inverse of its own curvature, so that a small domain counts as a
+    large one does. In the token-weighted metric a document's gradient is sum_d p_d * weight_d * residual_d + pull * (rate - 1), so
+    projected gradient steps that sum their gradients before the projection give rate = max(0, 1 - sum_d p_d * y_d): a value for each
+    domain is all the state there is. A step is scaled by the inverse of the gradients' curvature over the documents whose rate is
+    positive, and halved until the optimality residual falls. Where the pull keeps the totals from their targets, it is taken back a
+    hundredfold, down to least_pull. Targets that no rates reach end in the nearest totals and met = False;
+    a domain is met when its total is within tolerance of its target, relative to the larger of target and 0.01.
     """
-    names = [f"p_{d}" for d in DOMAINS]
-    k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = stats.agg(F.sum("n_tokens").alias("t"), *[F.sum(F.col("n_tokens") * F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    total = got["t"] or 0
     aim = np.array([targets[d] for d in DOMAINS])
+    total = float(stats.agg(F.sum("n_tokens")).first()[0] or 0)
+    dual = np.zeros(len(DOMAINS))
     if not total:
-        return F.lit(1.0), {}
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = (got[f"g{i}_{j}"] or 0.0) / total
-    weight = 1 / np.maximum(np.diag(gram), 1e-6)
-    size = 1 / (np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max() + pull)
-    steps: list[list[float]] = []
-    best = (np.inf, [], aim)
-    for _ in range(iterations):
-        reached = _totals(stats, steps, size * pull) / total
-        residual = reached - aim
-        miss = float((np.abs(residual) / np.maximum(aim, 0.01)).max())
-        if miss < best[0]:
-            best = (miss, list(steps), reached)
-        if miss < tolerance:
+        return Fit(F.lit(1.0), {}, False, 0)
+    shares, gram = _moments(stats, dual, total)
+    inverse_weight = np.maximum(np.diag(gram), 1e-6)
+    scale = np.maximum(aim, 0.01)
+    off = lambda shares, dual: shares - aim - pull * inverse_weight * dual
+    met = lambda: bool((np.abs(shares - aim) <= tolerance * scale).all())
+    done = 0
+    for done in range(1, iterations + 1):
+        now = off(shares, dual)
+        if float((np.abs(now) / scale).max()) < tolerance / 20:
+            if met() or pull <= least_pull:
+                break
+            pull = max(pull / 100, least_pull)
+            now = off(shares, dual)
+        step = np.linalg.solve(gram + pull * np.diag(inverse_weight), now)
+        for _ in range(12):
+            then = _moments(stats, dual + step, total)
+            if np.linalg.norm(off(then[0], dual + step) / scale) < np.linalg.norm(now / scale):
+                break
+            step = step / 2
+        else:
             break
-        steps.append(list(size * weight * residual))
-    return _rate(best[1], size * pull), dict(zip(DOMAINS, best[2].tolist(), strict=True))
+        dual, (shares, gram) = dual + step, then
+    return Fit(_rate(dual), dict(zip(DOMAINS, shares.tolist(), strict=True)), met(), done)
+
+
+NEW = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "targets_met"]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The columns of docs with n_tokens, p_<domain>, rate (own columns of these names are replaced).
+    """The columns of docs with n_tokens, p_<domain>, rate and targets_met (own columns of these names are replaced).
 
-    Documents are read again for the result rather than joined with their figures: that is cheaper than to shuffle texts.
+    targets_met is the same for all rows: whether the rates reach the targets. Documents go through the classifier once, and are
+    stored with their probabilities; the fit reads those columns only.
     """
-    new = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"]
-    own = [c for c in docs.columns if c not in new]
+    own = [c for c in docs.columns if c.lower() not in NEW]
     classifier = train(docs, labels)
-    stats = stored(posteriors(docs.select("text"), classifier), "mix-stats")
-    rate, _ = fit_rates(stats, targets or TARGETS)
-    return posteriors(docs.select(*own), classifier, *own).withColumn("rate", rate)
+    judged = stored(posteriors(docs.select(*map(quoted, own)), classifier, *own), "mix-judged")
+    fit = fit_rates(judged, targets or TARGETS)
+    return judged.withColumn("rate", fit.rate).withColumn("targets_met", F.lit(fit.met))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate for each document; without the texts nothing but ids and figures is moved."""
+    """doc_id, n_tokens, p_<domain>, rate, targets_met for each document; without the texts nothing but ids and figures is moved."""
     classifier = train(docs, labels)
     stats = stored(posteriors(docs.select("doc_id", "text"), classifier, "doc_id"), "mix-stats")
-    rate, _ = fit_rates(stats, TARGETS)
-    return stats.withColumn("rate", rate)
+    fit = fit_rates(stats, TARGETS)
+    return stats.withColumn("rate", fit.rate).withColumn("targets_met", F.lit(fit.met))

@@ -351,4 +351,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = join_components(docs, n, percent)
     key = fresh(docs, "rk")
     drop = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias(key)).distinct()
-    return docs.withColumn(key, row_key("doc_id", "text")).join(drop, key, "left_anti").drop(key)
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bounded(stored(drop, "copies")), key, "left_anti").drop(key)

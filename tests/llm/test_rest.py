@@ -49,6 +49,11 @@ def test_language_of_nothing_and_of_one(spark):
     assert langid.language_id(spark, one.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("text", "letters"), [("½ ² Ⅷ", False), ("x²", True), ("12 + 3", False), ("_", False), ("ß", True), ("漢", True), ("", False), ("²" * 50 + "a", True)])
+def test_letters_are_letters(text, letters):
+    assert langid.has_letter(text) == letters
+
+
 # WARC
 
 
@@ -246,25 +251,47 @@ def test_rates_meet_targets_and_toxic_words_sink(spark, prose, rng):
     assert by[900]["n_tokens"] == by[901]["n_tokens"] == 0 and by[900]["p_clean"] == pytest.approx(by[901]["p_clean"])
 
 
-def test_projected_gradient_equals_numpy(spark):
+def small_stats(spark, seed):
     import numpy as np
 
-    r = np.random.default_rng(6)
-    p, n = r.dirichlet(np.ones(3), size=50), r.integers(1, 500, size=50)
-    stats = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(50)], "i int, n_tokens long, p_clean double, p_poor double, p_toxic double")
-    rate, reached = mixing.fit_rates(stats, {"clean": 0.5, "poor": 0.2, "toxic": 0.05}, iterations=12, tolerance=0)
-    got = np.array([x["r"] for x in stats.select("i", rate.alias("r")).orderBy("i").collect()])
-    assert np.allclose((got * n) @ p / n.sum(), [reached[d] for d in mixing.DOMAINS])
-    gram = (p * n[:, None]).T @ p / n.sum()
-    w = 1 / np.diag(gram)
-    size = 1 / (np.linalg.eigvalsh(np.sqrt(w)[:, None] * gram * np.sqrt(w)).max() + 0.01)
-    x, best = np.ones(50), None
-    for _ in range(12):
-        miss = (x * n) @ p / n.sum() - [0.5, 0.2, 0.05]
-        worst = (np.abs(miss) / np.maximum([0.5, 0.2, 0.05], 0.01)).max()
-        best = (worst, x) if best is None or worst < best[0] else best
-        x = np.maximum(0, x + size * 0.01 * (1 - x) - p @ (size * w * miss))
-    assert np.allclose(got, best[1])
+    r = np.random.default_rng(seed)
+    p, n = r.dirichlet(np.ones(3) * 0.4, size=60), r.integers(1, 500, size=60)
+    return p, n, spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(60)], "i int, n_tokens long, p_clean double, p_poor double, p_toxic double")
+
+
+@pytest.mark.parametrize("targets", [(0.5, 0.2, 0.05), (0.93, 0.06, 0.01), (0.1, 0.1, 0.7)])
+def test_rates_equal_brute_force_least_squares(spark, targets):
+    import numpy as np
+
+    p, n, stats = small_stats(spark, 6)
+    fit = mixing.fit_rates(stats, dict(zip(mixing.DOMAINS, targets, strict=True)), pull=0.01, least_pull=0.01, tolerance=1e-6)
+    got = np.array([x["r"] for x in stats.select("i", fit.rate.alias("r")).orderBy("i").collect()])
+    # plain projected gradient on all 60 rates, in the token-weighted metric, to its end
+    t, aim = n.sum(), np.array(targets)
+    w = 1 / np.diag((p * n[:, None]).T @ p / t)
+    size = 1 / (np.linalg.eigvalsh(np.sqrt(w)[:, None] * ((p * n[:, None]).T @ p / t) * np.sqrt(w)).max() + 0.01)
+    x = np.ones(60)
+    for _ in range(60_000):
+        x = np.maximum(0, x - size * (p @ (w * ((x * n) @ p / t - aim)) + 0.01 * (x - 1)))
+    assert np.allclose(got, x, atol=2e-3)
+    assert np.allclose((got * n) @ p / t, [fit.shares[d] for d in mixing.DOMAINS])
+
+
+def test_targets_are_met_or_flagged(spark):
+    p, n, stats = small_stats(spark, 8)
+    near = mixing.fit_rates(stats, mixing.TARGETS)
+    assert near.met and all(abs(near.shares[d] - mixing.TARGETS[d]) <= 0.002 * max(mixing.TARGETS[d], 0.01) for d in mixing.DOMAINS) and near.iterations < 25
+    alike = stats.withColumn("p_clean", F.lit(0.5)).withColumn("p_poor", F.lit(0.3)).withColumn("p_toxic", F.lit(0.2))
+    assert not mixing.fit_rates(alike, mixing.TARGETS).met
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_registered_mixture_meets_its_targets(spark, sf):
+    from quireline.llm import queries
+
+    got = queries.QUERIES["op7_mixing"](spark, f"/root/testdata/{sf}")
+    r = got.agg(*[F.expr(f"sum(rate * n_tokens * p_{d}) / sum(n_tokens)").alias(d) for d in mixing.DOMAINS], F.bool_and("targets_met").alias("met")).first()
+    assert r["met"] and all(abs(r[d] - t) <= 0.002 * max(t, 0.01) for d, t in mixing.TARGETS.items())
 
 
 def test_mixing_without_labels_or_rows(spark):
@@ -304,6 +331,23 @@ def test_pipeline_stage_by_stage(spark, tmp_path, prose, rng):
     assert ids(cp.run(spark, str(tmp_path))) == sets[4]
 
 
+def test_stages_keep_own_columns_of_any_name(spark, tmp_path, prose, rng):
+    import corpus_pipeline as cp
+
+    own = ["lang_pred", "score", "runner_up", "ambiguous", "n_lines", "n_dropped", "rk", "__rk", "drop", "a.b", "odd, name"]
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = [text(rng, prose["en"], 40) for _ in range(9)]
+    texts += [texts[0], " ".join(texts) * 60, None]
+    rows = [(i, t, "en", *[f"{c}{i}" for c in own]) for i, t in enumerate(texts)] + [(0, texts[0], "en", *[f"{c}0" for c in own])]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "lang", *own])
+    for _, stage in cp.STAGES:
+        d = stage(spark, d, str(tmp_path))
+        got = {r["doc_id"]: r for r in d.collect()}
+        assert d.columns[: 3 + len(own)] == ["doc_id", "text", "lang", *own]
+        assert len(got) >= 9 and all(r[c] == f"{c}{i}" for i, r in got.items() for c in own)
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
