@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,42 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and rereads it: lineage ends here, and lost executors cost nothing before it.
 
-    The table goes when the driver ends; results that are read lazily may need it until then.
+    The table goes at the end of the scratch() block it was made in, unless it is kept, or else when the driver ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _MADE.append(path)
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+#: Paths of stored tables that may still be there, oldest first.
+_MADE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stored tables made in the block are deleted at its end, but for those passed through what it yields.
+
+    Results that are read later must hang on kept tables alone.
+    """
+    mark, kept = len(_MADE), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _MADE[mark:] if p not in kept]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _MADE.remove(path)
 
 
 #: Bytes of a side of a join that may be sent to all tasks.
@@ -56,6 +86,11 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: Spark's Arrow functions don't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def quoted(name: str) -> Column:
     """A column by its plain name, whatever signs it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

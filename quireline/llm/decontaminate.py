@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, row_key, stored
+from .common import bounded, fresh, row_key, scratch, stored
 
 WORDS = 5
 #: Containment in percent.
@@ -84,7 +84,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataF
 def decontaminate(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents that hold no item, with their columns."""
     key = fresh(docs, "rk")
-    bad = stored(contaminated(docs, items, least).select(F.col("rk").alias(key)).distinct(), "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(stored(contaminated(docs, items, least).select(F.col("rk").alias(key)).distinct(), "contaminated"))
     return docs.withColumn(key, row_key("doc_id", "text")).join(bounded(bad), key, "left_anti").drop(key)
 
 

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, quoted, small_batches
+from .common import fold, numbered, quoted, small_batches
 
 DIM = 4096
 #: Runs of letters, and of numerals such as one half or superscript two, which are none.
@@ -135,13 +136,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lead: float
     """docs with lang_pred, score, runner_up and ambiguous (the two best scores are less than lead apart); own columns of these names are replaced."""
     own = [c for c in docs.columns if c.lower() not in NEW]
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*map(quoted, own)).schema.add("lang_pred", "string").add("score", "double").add("runner_up", "string").add("ambiguous", "boolean")
+    held, at = spark.sparkContext.broadcast(model), own.index(text_col)
+    plain = numbered(docs.select(*map(quoted, own)))
+    schema = T.StructType(list(plain.schema.fields)).add("lang_pred", "string").add("score", "double").add("runner_up", "string").add("ambiguous", "boolean")
 
     def predict(batches):
         m = held.value
         for b in batches:
-            texts = b.column(text_col).to_pylist()
+            texts = b.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if t is not None and m.langs and has_letter(t)]
             lang, score, second, unsure = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)
             for i in range(0, len(known), 128):
@@ -156,11 +158,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lead: float
                         second[j], unsure[j] = m.langs[c], bool(p[row, a] - p[row, c] < lead)
                     else:
                         unsure[j] = False
-            kept = [b.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], names=[*own, *NEW])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(unsure, pa.bool_())], names=schema.names)
 
     small_batches(spark)
-    return docs.select(*map(quoted, own)).mapInArrow(predict, schema)
+    return plain.mapInArrow(predict, schema).toDF(*own, *NEW)
 
 
 def held_out(parts: int = 4, part: int = 2):

@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, quoted, row_key, stored
+from .common import bounded, fresh, quoted, row_key, scratch, stored
 from .ngram_join import components
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -139,10 +139,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 4
     """docs without the recurring lines, plus n_lines and n_dropped (own columns of these names are replaced)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*map(quoted, own))
-    lines = stored(_lines(d, depth, min_tokens, min_chars), "lines")
     key, drop = fresh(d, "rk"), fresh(d, "drop")
-    drops = stored(recurring(lines, min_docs, similarity, most_variable), "line-drops").toDF(key, drop)
-    out = d.withColumn(key, row_key("doc_id", "text")).join(bounded(drops), key, "left")
+    with scratch(docs.sparkSession) as keep:
+        lines = stored(_lines(d, depth, min_tokens, min_chars), "lines")
+        drops = keep(stored(recurring(lines, min_docs, similarity, most_variable), "line-drops"))
+    out = d.withColumn(key, row_key("doc_id", "text")).join(bounded(drops.toDF(key, drop)), key, "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), "\n")
     cols = [F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else quoted(c) for c in own]

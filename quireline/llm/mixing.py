@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, stored
+from .common import numbered, quoted, scratch, small_batches, stored
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of the tokens that the mixture should hold.
@@ -94,6 +94,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, words_k
     The words kept are those whose presence tells one domain from the rest most surely (by a z-score of document shares). An id
     with several labels takes the least one. Only the sample's ids meet the documents, so texts are not shuffled.
     """
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, sample_rows, words_kept, least_docs)
+
+
+def _train(docs: DataFrame, labels: DataFrame, sample_rows: int, words_kept: int, least_docs: int) -> Classifier:
     spark = docs.sparkSession
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
     lab = lab.select("doc_id", _domain(F.col("l.quality"), F.col("l.toxic")).alias("domain")).where("domain is not null")
@@ -171,16 +176,18 @@ def posteriors(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame
     """keep, n_tokens and p_<domain> for each row."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
     small_batches(docs.sparkSession)
-    schema = docs.select(*map(quoted, keep)).schema.add("n_tokens", "long")
+    plain = numbered(docs.select(*map(quoted, dict.fromkeys([*keep, "text"]))))
+    at = [*dict.fromkeys([*keep, "text"])].index("text")
+    schema = plain.select(plain.columns[: len(keep)]).schema.add("n_tokens", "long")
     for d in DOMAINS:
         schema = schema.add(f"p_{d}", "double")
 
     def run(batches):
         for b in batches:
-            p, n = held.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n), *(pa.array(p[:, j]) for j in range(len(DOMAINS)))], names=[*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+            p, n = held.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n), *(pa.array(p[:, j]) for j in range(len(DOMAINS)))], names=schema.names)
 
-    return docs.select(*map(quoted, dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])
 
 
 def _moments(stats: DataFrame, dual: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:

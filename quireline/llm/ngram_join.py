@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, row_key, small_batches, stored
+from .common import bounded, fresh, row_key, scratch, small_batches, stored
 
 BANDS = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -314,8 +314,13 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, share: float
     """(rk, doc_id, n_shingles, component_id, and n_links if asked for) of each row of docs; rk is the row's key.
 
     component_id is the least doc_id of the component; n_links counts the links of the row's
-    class to other classes, all of them.
+    class to other classes, all of them. The result is a stored table.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(stored(_join_components(docs, n, percent, share, count_links), "components"))
+
+
+def _join_components(docs: DataFrame, n: int, percent: int, share: float | None, count_links: bool) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     share = share if share is not None else min(1.0, (0.05 + 1.25 * (100 - percent) / 100))
@@ -348,7 +353,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the component's least id; rows with the empty set, and repeats of the kept row's id and text, as they are."""
-    found = join_components(docs, n, percent)
     key = fresh(docs, "rk")
-    drop = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias(key)).distinct()
-    return docs.withColumn(key, row_key("doc_id", "text")).join(bounded(stored(drop, "copies")), key, "left_anti").drop(key)
+    with scratch(docs.sparkSession) as keep:
+        drop = keep(stored(_copies(join_components(docs, n, percent), key), "copies"))
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bounded(drop), key, "left_anti").drop(key)
+
+
+def _copies(found: DataFrame, key: str) -> DataFrame:
+    return found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias(key)).distinct()
