@@ -63,3 +63,36 @@ def test_no_samples_and_no_rows(spark):
     none = spark.createDataFrame([], "sample string, is_random boolean")
     assert set(S.train(none)) == {0.0}
     assert S.secret_scan(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_spans_and_long_runs(spark):
+    import base64
+    import time
+
+    key = base64.b64encode(hashlib.sha256(b"k").digest()).decode()[:30]
+    text = " ".join(["0123456789abcdef01234567", f"token=abcdefgh {key}x"] * 3000)
+    df = spark.createDataFrame([(1, text, "a", "b"), (2, "Q9z/" * 100_000, "a", "b"), (3, f"secret={key} {key}, {key}", "a", "b")], "doc_id long, text string, base string, `a.b` string")
+    began = time.time()
+    fit, held = S.split_samples(S.labelled_samples(spark))
+    table = S.train(fit)
+    out = S.scan_secrets(df, table)
+    assert out.columns == ["doc_id", "text", "base", "a.b", "secret_spans"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    spans = [(s["start"], s["kind"], s["end"]) for s in got[1]["secret_spans"]]
+    assert [s for s in spans if s[1] < 3] == brute(text)
+    assert [(a, b) for a, k, b in spans if k == 3] == [(m.start() + 15, m.end()) for m in re.finditer("token=abcdefgh [^ ]+", text)]
+    assert [s["kind"] for s in got[2]["secret_spans"]] == [3]
+    assert [(s["kind"], s["start"]) for s in got[3]["secret_spans"]] == [(0, 0), (3, 38), (3, 70)]
+    assert time.time() - began < 90
+
+
+def test_threshold_is_measured_on_held_out_samples(spark):
+    fit, held = S.split_samples(S.labelled_samples(spark, docs=spark.createDataFrame([(1, "many plain words stand here " * 9)], "doc_id long, text string")))
+    ratios = S.train(fit)
+    least = S.threshold(held, ratios, errors=0.01, least=-1e9)
+    scored = held.where(f"length(sample) >= {S.CANDIDATE_LEAST}").withColumn("llr", S._ratio(held["sample"], S._table(ratios)))
+    rows = scored.collect()
+    plain = [r["llr"] > least for r in rows if not r["is_random"]]
+    rand = [r["llr"] > max(least, S.LLR_LEAST) for r in rows if r["is_random"]]
+    assert 0 < sum(plain) <= 0.02 * len(plain) and sum(rand) >= 0.98 * len(rand)
+    assert S.threshold(held.limit(0), ratios) == float("inf")
