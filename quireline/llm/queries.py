@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.url_filter(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return url_rules.url_filter(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents"))
 
 
 @_query

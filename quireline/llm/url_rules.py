@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, bounded, row_key, stored
 
 # Fixed values: (verdict, rule); a rule is a host and the beginning of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -111,8 +111,48 @@ def judge_urls(pages: DataFrame, mined: DataFrame, rules=RULES) -> DataFrame:
     return j.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("mined_verdict"), F.lit("allow")).alias("verdict"), "mined_rule", "confidence")
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rules are mined from the pages whose id has a label: of poor quality or toxic means blocked."""
-    marks = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    labelled = pages.select("page_id", "url").join(marks, "page_id").select("url", "blocked")
+#: Characters that a block of text must have to tell whose text a page shows.
+BLOCK_CHARS = 20
+
+
+def _blocks(text: Column) -> Column:
+    """Hashes and lengths of a text's lines, blanks aside; short ones are left out."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
+    return F.transform(F.array_distinct(F.filter(lines, lambda x: F.length(x) >= BLOCK_CHARS)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+
+
+def html_text(html: Column) -> Column:
+    """The text of a page, a line for each element."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "\n"), r"(?s)<[^>]*>", "\n")
+
+
+def labelled_by_content(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, blocked) of the pages that show labelled documents' text: at least half of a page's lines, by characters, must be known.
+
+    A document is bad if a label of it says poor or toxic. A line counts as bad by the share of its documents that are, and a page by
+    the mean over its known lines. Only line hashes are moved, each line of the documents as one row.
+    """
+    marks = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    lines = docs.select("doc_id", "text").join(bounded(marks), "doc_id").select("bad", F.explode(_blocks(F.col("text"))).alias("b"))
+    lines = lines.groupBy(F.col("b.h").alias("h")).agg(F.avg(F.col("bad").cast("int")).alias("bad"))
+    shown = pages.select(row_key("page_id", "url").alias("rk"), "url", F.explode(_blocks(html_text(F.col("html")))).alias("b")).select("rk", "url", "b.h", "b.n")
+    found = shown.join(lines, "h", "left").groupBy("rk", "url")
+    known = F.when(F.col("bad").isNotNull(), F.col("n"))
+    found = found.agg(F.sum("n").alias("all"), F.sum(known).alias("known"), (F.sum(F.col("bad") * F.col("n")) / F.sum(known)).alias("share"))
+    return found.where(F.col("known") * 2 >= F.col("all")).select("url", (F.col("share") >= 0.5).alias("blocked"))
+
+
+def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Rules are mined from labelled pages and decide where no fixed rule does.
+
+    A page's label is the verdict of the fixed rules where one fits, which makes the mined rules carry those decisions on to hosts
+    that the list doesn't know; else, where documents are given, that of the labelled documents whose text it shows.
+    """
+    host, path = host_path(F.col("url"))
+    named = pages.withColumns({"host": host, "path": path}) if not {"host", "path"} & {c.lower() for c in pages.columns} else pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path")], host.alias("host"), path.alias("path"))
+    _, verdict = fixed_rule(F.col("host"), F.col("path"))
+    judged = named.select("page_id", "url", *(["html"] if docs is not None else []), verdict.alias("fixed"))
+    labelled = judged.where("fixed is not null").select("url", (F.col("fixed") == "block").alias("blocked"))
+    if docs is not None:
+        labelled = labelled.unionByName(labelled_by_content(judged.where("fixed is null"), docs, labels))
     return judge_urls(pages, mine(labelled))

@@ -65,3 +65,29 @@ def test_empty_and_repeated(spark):
     assert U.url_filter(spark, empty, labels).count() == 0
     twice = spark.createDataFrame([(1, "http://a.net/fr/"), (1, "http://a.net/fr/"), (None, "http://b.com/")], "page_id long, url string")
     assert sorted(r["verdict"] for r in U.url_filter(spark, twice, labels).collect()) == ["allow", "block", "block"]
+
+
+def test_labels_come_from_the_fixed_rules_and_from_what_pages_show(spark):
+    from pyspark.sql import functions as F
+
+    line = lambda i, k: f"line {k} of the text of document {i} is long enough"
+    docs = spark.createDataFrame([(i, "\n".join(line(i, k) for k in range(4))) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)] + [(99, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    html = lambda i: "<html><script>var a = 'not a line of text at all';</script>" + "".join(f"<p>{line(i, k)}</p>" for k in range(4)) + "</html>"
+    pages = [(1000 + i, f"http://{'bad' if i % 2 == 0 else 'good'}.org/{i}", html(i)) for i in range(40)] + [(1, None, None), (2, "http://x.org/", "<p>unknown text that is long enough too</p>")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["url"]: r["blocked"] for r in U.labelled_by_content(pages, docs, labels).collect()}
+    assert found == {f"http://{'bad' if i % 2 == 0 else 'good'}.org/{i}": i % 2 == 0 for i in range(30)}
+    got = {r["page_id"]: r for r in U.url_filter(spark, pages, labels, docs).collect()}
+    assert len(got) == 42 and all(got[1000 + i]["verdict"] == ("block" if i % 2 == 0 else "allow") for i in range(40))
+    assert got[1038]["mined_rule"] in ("h:bad", "d:bad.org") and got[1]["verdict"] == "allow"
+    # decisions of the fixed rules are carried on to a host they don't know
+    listed = spark.createDataFrame([(i, f"http://h{i}.net/fr/pills/{i}") for i in range(20)] + [(50 + i, f"http://h{i}.com/de/news/{i}") for i in range(20)] + [(90, "http://else.org/pills/1")], "page_id long, url string")
+    assert U.url_filter(spark, listed, labels).where(F.col("page_id") == 90).first()["verdict"] == "block"
+
+
+def test_mined_rules_decide_on_the_test_tables(spark):
+    from quireline.llm import queries
+
+    got = queries.QUERIES["op1_url_filter"](spark, "/root/testdata/sf0.01")
+    assert got.where("rule is null and mined_rule is not null").count() > 0
