@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, selection, sequences, texts  # noqa: F401
+from . import evaluation, judging, selection, sequences, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

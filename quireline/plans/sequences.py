@@ -19,21 +19,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's lines of 20 characters or more without every third one, aligned with those without every fourth."""
+    """A document's lines of 20 characters or more without every third one, aligned with those without every fourth."""
     lines = _lines(spark, sf_dir).where("size >= 20").select("doc_id", F.col("no").cast("long").alias("pos"), (F.col("no") + 1).alias("no"), "title")
     return S.align(lines.where("pos % 3 <> 0"), lines.where("pos % 4 <> 0"), ["doc_id"])
 
 
 @query()
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing and falling starts of each user's events filled evenly."""
+    """Missing and falling starts of each user's events filled evenly."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", (F.col("event_id") / 10).cast("long")).alias("unit"), F.lit(100_000).alias("units"))
     return S.gap_fill(e, ["user_id"], "event_id", "unit", "units")
 
 
 @query()
 def greedy_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best events of a user at least 500 ids apart."""
+    """The best events of a user at least 500 ids apart."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return S.diverse_top(e, ["user_id"], "event_id", "value", 500, 5)
 
@@ -61,7 +61,7 @@ def merged_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line of a document is a chapter; boundaries are chosen, then locked to line starts."""
+    """Every third line of a document is a chapter; boundaries are chosen, then locked to line starts."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("doc_id").orderBy("no")
@@ -75,7 +75,7 @@ def boundary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines kept as entries, numbers joined to the title before them."""
+    """Lines kept as entries, numbers joined to the title before them."""
     from pyspark.sql import types as T
 
     kept = F.udf(S.merged_lines, T.ArrayType(T.StringType()), useArrow=True)
@@ -99,7 +99,7 @@ def model_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ask_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate, choice of books and sections, budget, answer; sources are the books, documents their sections."""
+    """Gate, choice of books and sections, budget, answer; sources are the books, documents their sections."""
     d = table(spark, sf_dir, "documents")
     books = d.groupBy("source").agg(F.min("doc_id").alias("book_id")).select("book_id", F.col("source").alias("title"))
     sections = d.join(books, d.source == books.title).select("book_id", F.col("doc_id").alias("section_id"), "text")
@@ -126,7 +126,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id, count(*) turns, max(case when role = 'user' then left(text, 30) end) last_user from conversations group by conv_id")
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested trace filtered and summed up, as array expressions."""
+    """A nested trace filtered and summed up, as array expressions."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("trace"))
     users = F.transform(F.filter("trace", lambda t: t["role"] == "user"), lambda t: F.left(t["text"], F.lit(30)))
     return c.select("conv_id", F.size("trace").cast("bigint").alias("turns"), F.array_max(users).alias("last_user"))

@@ -47,7 +47,7 @@ def token_jaccard_contamination_whole(spark: SparkSession, sf_dir: str) -> DataF
 def _contaminated(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", X.plain_tokens(F.col("text")).alias("tokens"))
     b = table(spark, sf_dir, "benchmark").select("item_id", X.plain_tokens(F.col("text")).alias("tokens"))
-    o = J.token_overlap(d, b, "doc_id", "item_id").where("jaccard >= 0.2")
+    o = J.token_overlap(d, b, "doc_id", "item_id", least=0.2)
     return o.select("doc_id", "item_id", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
 
 
@@ -73,23 +73,23 @@ def answer_format_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select user_id, list_distinct(list('Step' || (event_id % 7)::varchar)) steps, count(*) filter (where event_type = 'view') n5, bool_or(event_type = 'purchase') used, count(*) n from events group by user_id)
-select user_id, array_to_string(list_filter([case when not list_contains(steps, 'Step0') then 'missing_step0' end, case when mode = 'M2' and used then 'M2_forbids_retrieval' end,
-  case when mode = 'M1' and not used then 'M1_requires_retrieval' end, case when mode = 'M8' and not used then 'M8_requires_retrieval' end,
-  case when mode = 'M8' and n5 <> least(10, n) then 'M8_section_budget_not_met' end, case when mode in ('M1', 'M8') and n5 < 1 then mode || '_requires_at_least_one_section' end], lambda x: x is not null), ',') codes
-from (select *, case user_id % 3 when 0 then 'M1' when 1 then 'M2' else 'M8' end AS mode from s)
-where len(list_filter(['Step1','Step2','Step3','Step4','Step5','Step6'], lambda z: not list_contains(steps, z))) = 0
+with s as (select user_id, list_distinct(list('Step' || (event_id % 7)::varchar)) steps, count(*) filter (where event_type = 'view') n5, bool_or(event_type = 'purchase') used, count(*) n from events group by user_id),
+m as (select *, case user_id % 3 when 0 then 'M1' when 1 then 'M2' else 'M8' end AS mode from s)
+select user_id, array_to_string(list_filter(flatten([[case when not list_contains(steps, 'Step0') then 'missing_step0' end, case when mode <> 'M2' and not used then mode || '_requires_retrieval' end, case when mode = 'M2' and used then 'M2_forbids_retrieval' end],
+  list_transform(list_filter(['Step1','Step2','Step3','Step4','Step5','Step6'], lambda z: mode <> 'M2' and not list_contains(steps, z)), lambda z: mode || '_missing_' || z),
+  [case when mode = 'M2' and n5 > 0 then 'M2_forbids_retrieval_outputs' end, case when mode <> 'M2' and n5 < 1 then mode || '_requires_at_least_one_section' end, case when mode <> 'M2' and user_id % 5 = 0 then mode || '_requires_final_sources' end,
+   case when mode = 'M8' and n5 <> least(10, n) then 'M8_section_budget_not_met' end, case when used and user_id % 4 = 0 then 'step2_json_ok_false' end]]), lambda x: x is not null), ',') codes
+from m
 """)
 def conformance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule violations of each mode, for users whose events name all steps."""
+    """Rule violations of each mode, for all users."""
     e = table(spark, sf_dir, "events")
     s = e.groupBy("user_id").agg(F.collect_set(F.concat(F.lit("Step"), (F.col("event_id") % 7).cast("string"))).alias("executed_steps"), F.count_if(F.col("event_type") == "view").alias("n5"), F.bool_or(F.col("event_type") == "purchase").alias("retrieval_used"), F.count("*").alias("available_sections"))
-    s = s.where(F.size(F.array_except(F.array(*[F.lit(f"Step{i}") for i in range(1, 7)]), "executed_steps")) == 0)
     m = F.when(F.col("user_id") % 3 == 0, "M1").when(F.col("user_id") % 3 == 1, "M2").otherwise("M8")
-    none = {c: F.lit(None).cast(t) for c, t in {"expert_prompt_used": "boolean", "chapter_only_mode": "boolean", "skip_section_ranking": "boolean", "step5_selection_mode": "string", "p_solve": "double", "confidence_threshold": "double", "m5_gate_triggered_retrieval": "boolean", "ok1": "boolean", "ok2": "boolean", "ok3": "boolean", "ok4": "boolean", "ok5": "boolean"}.items()}
-    s = s.withColumns({"mode": m, "n1": F.lit(0), "n2": F.lit(0), "n3": F.lit(0), "n4": F.lit(0), "final_sources": F.when(m == "M2", 0).otherwise(1), "topk_sections": F.lit(10), **none})
-    codes = F.filter(Q.conformance(), lambda x: x != "M2_forbids_retrieval_outputs")
-    return s.select("user_id", F.array_join(codes, ",").alias("codes"))
+    none = {c: F.lit(None).cast(t) for c, t in {"expert_prompt_used": "boolean", "chapter_only_mode": "boolean", "skip_section_ranking": "boolean", "step5_selection_mode": "string", "p_solve": "double", "confidence_threshold": "double", "m5_gate_triggered_retrieval": "boolean", "ok1": "boolean", "ok3": "boolean", "ok4": "boolean", "ok5": "boolean"}.items()}
+    sources = F.when((m == "M2") | (F.col("user_id") % 5 == 0), 0).otherwise(1)
+    s = s.withColumns({"mode": m, "n1": F.lit(0), "n2": F.lit(0), "n3": F.lit(0), "n4": F.lit(0), "final_sources": sources, "topk_sections": F.lit(10), "ok2": F.col("user_id") % 4 != 0, **none})
+    return s.select("user_id", F.array_join(Q.conformance(), ",").alias("codes"))
 
 
 @query("""
@@ -131,7 +131,7 @@ select doc_id, case when len(ls) = 0 then 0.0 else least(1.0, (case when regexp_
 from (select doc_id, text, {LINES} ls from documents)
 """)
 def toc_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score from words, numbers at line ends and leaders."""
+    """A score from words, numbers at line ends and leaders."""
     return _lined(spark, sf_dir).select("doc_id", Q.toc_likeness(F.col("text"), "license", "mail|http", F.col("ls")).alias("toc_score"))
 
 
@@ -320,13 +320,15 @@ def tex_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parsed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """headings found in texts (unit-tested; no SQL)."""
-    return _docs(spark, sf_dir, F.explode(V.headings_udf("text")).alias("h")).select("doc_id", "h.*")
+    """headings found in texts, each of which opens with one of four kinds (unit-tested; no SQL)."""
+    n, k = (F.col("doc_id") % 90 + 1).cast("string"), F.col("doc_id") % 4
+    head = F.when(k == 0, F.concat(F.lit("Chapter "), n, F.lit(" begins"))).when(k == 1, F.concat(F.lit("\\section{Part "), n, F.lit("}"))).when(k == 2, F.concat(n, F.lit(".2 Results"))).otherwise("第十二章 热")
+    return _docs(spark, sf_dir, F.explode(V.headings_udf(F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))))).alias("h")).select("doc_id", "h.*")
 
 
 @query()
 def phrase_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts against the windows of documents they share a word with; exact hits first, then fuzzy ones (no SQL)."""
+    """Benchmark texts against the windows of documents they share a word with; exact hits first, then fuzzy ones (no SQL)."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     tok = d.select("doc_id", words(F.col("text")).alias("tokens"))

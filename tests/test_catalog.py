@@ -41,13 +41,13 @@ def test_same_rows_as_sql(spark, duck, name):
     at = [[d[0] for d in result.description].index(c) for c in cols]
     want = sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
     assert got == want
-    assert got or name in ("token_jaccard_contamination", "conformance_codes")
+    assert got or name == "token_jaccard_contamination"
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    assert df.count() >= 0 and df.columns
+    assert df.count() > 0 and df.columns
 
 
 def test_entry(spark):
