@@ -158,15 +158,31 @@ def windows(codes: list[np.ndarray], width: int = WINDOW) -> np.ndarray:
     return np.vstack([np.pad(c, (0, -c.size % width), constant_values=pad).reshape(-1, width) for c in codes]) if codes else np.zeros((0, width), dtype=np.int64)
 
 
-def e_step(m: Model, rows: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
-    """Adds the expected counts of these windows (forward-backward over all of them at once)."""
+def opening(codes: list[np.ndarray], width: int = WINDOW) -> np.ndarray:
+    """Which of the windows are a text's first."""
+    sizes = [max(0, -(-c.size // width)) for c in codes]
+    return np.concatenate([np.arange(n) == 0 for n in sizes]) if sizes else np.zeros(0, dtype=bool)
+
+
+def usual(m: Model) -> np.ndarray:
+    """The states' shares in the long run: what a window that goes on in a text begins with."""
+    p = np.full(m.start.size, 1 / m.start.size)
+    for _ in range(200):
+        p = p @ m.move
+    return p / p.sum()
+
+
+def e_step(m: Model, rows: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray, first: np.ndarray | None = None) -> None:
+    """Adds the expected counts of these windows (forward-backward over all of them at once); first: which begin a text (all, if not given)."""
     obs, k = rows.T, m.start.size
+    first = np.ones(len(rows), dtype=bool) if first is None else first
+    begin = np.where(first[:, None], m.start, usual(m)).astype(np.float32)
     em, used = m.padded().astype(np.float32)[obs], obs < OWN + SHARED
     move = m.move.astype(np.float32)
     t, n = obs.shape
     alpha, scale = np.empty((t, n, k), np.float32), np.empty((t, n, 1), np.float32)
     for i in range(t):
-        a = (alpha[i - 1] @ move if i else m.start.astype(np.float32)) * em[i]
+        a = (alpha[i - 1] @ move if i else begin) * em[i]
         scale[i] = np.maximum(a.sum(1, keepdims=True), 1e-30)
         alpha[i] = a / scale[i]
     beta = np.ones((n, k), np.float32)
@@ -178,7 +194,7 @@ def e_step(m: Model, rows: np.ndarray, emitted: np.ndarray, moved: np.ndarray, s
             moved += (alpha[i - 1] * used[i][:, None]).T @ back
             beta = back @ move.T
     gamma *= used[:, :, None]
-    started += gamma[0].sum(0)
+    started += gamma[0][first].sum(0)
     flat = obs.ravel()
     for s in range(k):
         emitted[s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=OWN + SHARED + 1)[: OWN + SHARED]
@@ -230,6 +246,9 @@ def first_model(sample: np.ndarray, base: np.ndarray, states: int = STATES, seed
 def baum_welch(coded: DataFrame, lexicon: Lexicon, rounds: int = 2, sample_texts: int = 400, states: int = STATES) -> Model:
     """Rounds over all training texts. Each text is seen in windows of WINDOW words, none left out.
 
+    A window that goes on in a text begins with the states' usual shares, and only first windows count for the start. The one move
+    from a window's last word to the next window's first is not counted: one in WINDOW, whatever the words. Scoring knows no windows.
+
     The sample that bounds the first model's cost is sample_texts texts by hash; the rounds that follow use every text.
     """
     train = coded.where("not held_out").select("rid", "code")
@@ -248,9 +267,9 @@ def baum_welch(coded: DataFrame, lexicon: Lexicon, rounds: int = 2, sample_texts
             waiting, n = [], 0
 
             def use():
-                rows = windows(waiting)
+                rows, first = windows(waiting), opening(waiting)
                 for i in range(0, len(rows), 1024):
-                    e_step(m, rows[i : i + 1024], *acc)
+                    e_step(m, rows[i : i + 1024], *acc, first[i : i + 1024])
                 waiting.clear()
 
             for b in batches:

@@ -80,3 +80,23 @@ def test_empty_table(spark):
     held = zlib.crc32(b"1") % 5 == 1
     r = H.language_model(spark, only).first()
     assert r["held_out"] == held and r["n_tokens"] == 3
+
+
+def test_windows_that_go_on_do_not_count_as_starts():
+    rng = np.random.default_rng(9)
+    dim = H.OWN + H.SHARED
+    codes = [rng.integers(50, size=n) for n in (10, 64, 65, 300)]
+    rows, first = H.windows(codes), H.opening(codes)
+    assert len(rows) == len(first) == 9 and first.sum() == 4
+    m = H.Model(np.array([0.9, 0.1]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(dim), size=2))
+    assert np.allclose(H.usual(m), [0.4, 0.6])
+    acc = (np.zeros((2, dim)), np.zeros((2, 2)), np.zeros(2))
+    H.e_step(m, rows, *acc, first)
+    assert acc[2].sum() == pytest.approx(4, abs=1e-3) and acc[0].sum() == pytest.approx(439, abs=1e-2)
+
+
+def test_held_out_texts_score_as_the_model_alone_does(spark, prose, rng):
+    """The whole query's score is the forward probability of the classes plus each word's probability in its class."""
+    df = spark.createDataFrame(docs(spark, prose, rng)[:60], "doc_id long, text string")
+    got = H.language_model(spark, df, rounds=1).collect()
+    assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
