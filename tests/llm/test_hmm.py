@@ -95,8 +95,7 @@ def test_windows_that_go_on_do_not_count_as_starts():
     assert acc[2].sum() == pytest.approx(4, abs=1e-3) and acc[0].sum() == pytest.approx(439, abs=1e-2)
 
 
-def test_held_out_texts_score_as_the_model_alone_does(spark, prose, rng):
-    """The whole query's score is the forward probability of the classes plus each word's probability in its class."""
+def test_scores_are_log_probabilities(spark, prose, rng):
     df = spark.createDataFrame(docs(spark, prose, rng)[:60], "doc_id long, text string")
     got = H.language_model(spark, df, rounds=1).collect()
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
