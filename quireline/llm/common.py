@@ -74,7 +74,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 BROADCAST_BYTES = 32 << 20
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
     """Marked for sending to all tasks if its bytes, which are counted, are within the bound; else it stays for a shuffled join.
 
     Numbers count 16 bytes (value and place in the table), texts and binaries their own besides.
@@ -83,7 +83,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     lists = [F.coalesce(8 * F.greatest(F.size(quoted(f.name)), F.lit(0)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString().startswith("array")]
     row = sum([*wide, *lists], F.lit(16 * len(df.columns)))
     size = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def numbered(df: DataFrame) -> DataFrame:

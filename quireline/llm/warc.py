@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stored
+from .common import bounded, shared_path, small_batches, stored
 
 #: Magic number of the skippable frame that holds the dictionary (fixed value of the format).
 DICT_MAGIC = 0x184D2A5D
@@ -73,11 +73,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds ``kept_id`` (null, or the largest page_id of an equal payload) and ``revisit``.
 
-    Only digests that repeat meet the rows again; a hot digest is one row on that side.
+    Only digests that repeat meet the rows again, and a hot digest is one row on that side. As long as those digests are within the
+    bound for sending them to all tasks, payloads stay where they are.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     again = p.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept_id")).where("n > 1 and kept_id is not null").drop("n")
-    out = p.join(again, "digest", "left").drop("digest")
+    out = p.join(bounded(stored(again, "warc-digests")), "digest", "left").drop("digest")
     return out.withColumn("revisit", F.col("kept_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id")))
 
 

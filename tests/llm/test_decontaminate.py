@@ -50,7 +50,7 @@ def test_equals_brute_force(spark, rng):
 
 
 def test_large_sides_are_shuffled(spark, rng, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr("quireline.llm.common.BROADCAST_BYTES", -1)
     docs, items = fixture(rng)
     d, b = spark.createDataFrame(docs[:40], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {(i, k) for i, t in docs[:40] for k, u in items if (q := shingles(u)) and len(q & shingles(t)) * 100 >= 80 * len(q)}

@@ -143,3 +143,11 @@ def test_links_are_counted_in_blocks(spark, rng, monkeypatch, block):
     want = sorted((doc, sum(a != b and len(a & b) * 100 >= 80 * len(a | b) for b in sets)) for a, docs in sets.items() for doc in docs)
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_links"]) for r in N.join_components(df, 5, 80, count_links=True).collect()) == want
+
+
+def test_large_sides_are_shuffled(spark, rng, monkeypatch):
+    monkeypatch.setattr("quireline.llm.common.BROADCAST_BYTES", -1)
+    data = crowded(rng, 5)[:80]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.join_components(df).collect()), key=str)
+    assert got == brute(data, 5, 80)
