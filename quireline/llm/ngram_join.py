@@ -142,11 +142,12 @@ def with_possible_partner(read: DataFrame) -> DataFrame:
 
     A shingle's classes are summed up in one row: whether there are two, and which size bands (in 64 bits) hold it. Where a
     band holds it more than once the row does not tell which, and all its classes count as having company: never too few.
+    These rows are stored first, so that what was shuffled to make them is gone when the join shuffles the classes.
     """
     rows = read.select("rk", "ck", F.pmod("band", F.lit(64)).cast("int").alias("band"), F.explode("sampled").alias("h"))
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     held = rows.groupBy("h").agg(F.min("ck").alias("c1"), F.max("ck").alias("c2"), F.count("*").alias("c"), F.bit_or(bit("band")).alias("bits"))
-    held = held.where("c1 <> c2").select("h", (F.col("c") > F.bit_count("bits")).alias("many"), "bits")
+    held = stored(held.where("c1 <> c2").select("h", (F.col("c") > F.bit_count("bits")).alias("many"), "bits"), "held")
     beside = bit("pmod(band + 1, 64)").bitwiseOR(bit("pmod(band + 63, 64)"))
     company = rows.join(held, "h").where(F.col("many") | (F.col("bits").bitwiseAND(beside) != 0)).groupBy("rk").agg(F.count("*").alias("met"))
     own = read.where("set_key is not null and (need <= 0 or size(sampled) > 0)").select("rk", "set_key", "need")
@@ -219,7 +220,7 @@ def _postings(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     two loose sets never link (each would have to be the smaller one): every pair has a tight end.
     """
     every = sets.select("rk", F.explode("hs").alias("h"))
-    shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     placed = every.join(shared, "h").groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("df", "h")))["h"].alias("o"))
     placed = placed.join(sets.select("rk", "n", "bands"), "rk").withColumn("k", F.col("n") - F.size("o"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1

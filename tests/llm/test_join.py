@@ -1,5 +1,10 @@
+import gc
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from quireline.llm import common
 from quireline.llm import ngram_join as N
 
 
@@ -151,3 +156,63 @@ def test_large_sides_are_shuffled(spark, rng, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.join_components(df).collect()), key=str)
     assert got == brute(data, 5, 80)
+
+
+# shuffle files
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def settled(spark, most, seconds=10):
+    """The bytes of shuffle files once they are at most so many, or after so long: Spark deletes them beside other work."""
+    until = time.time() + seconds
+    while (b := shuffle_bytes(spark)) > most and time.time() < until:
+        time.sleep(0.1)
+    return b
+
+
+def test_what_was_shuffled_goes_when_a_table_is_stored(spark):
+    before = shuffle_bytes(spark)
+    source = spark.range(200_000).groupBy(F.xxhash64("id").alias("h")).count()  # held, so that nothing goes as garbage
+    with common.scratch(spark):
+        out = common.stored(source, "counts")
+        assert settled(spark, before) <= before
+        assert out.count() == source.count() == 200_000
+    assert spark.conf.get(common.DROP_SHUFFLES) == "false"
+
+
+@pytest.mark.parametrize("value", [None, "true"])
+def test_a_setting_is_as_before_also_after_failure(spark, value):
+    key = "spark.sql.quireline.test"
+    if value is not None:
+        spark.conf.set(key, value)
+    with pytest.raises(ValueError, match="inside"), common.setting(spark, key, "other"):
+        assert spark.conf.get(key) == "other"
+        raise ValueError("inside")
+    assert spark.conf.get(key, None) == value
+    spark.conf.unset(key)
+
+
+def test_a_join_holds_no_shuffle_of_earlier_steps(spark, rng, monkeypatch):
+    left, names, store = [], [], N.stored
+    gc.collect()
+    before = shuffle_bytes(spark)
+
+    def watched(df, name):
+        out = store(df, name)
+        names.append(name)
+        left.append(settled(spark, before + 100_000) - before)  # sums of a few rows stay
+        return out
+
+    monkeypatch.setattr(N, "stored", watched)
+    v = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(v) for _ in range(300)) for _ in range(150)]
+    texts += [t + " and more" for t in texts]
+    got = N.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80)
+    assert {r["component_id"] for r in got.collect()} == set(range(150))
+    assert names.index("held") < names.index("pool") and names.index("shared-shingles") < names.index("placed")
+    assert max(left) <= 100_000
