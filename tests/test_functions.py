@@ -1,3 +1,6 @@
+import difflib
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +164,33 @@ def test_headings_and_find_all():
 def test_similarity():
     assert V.similarity("flow of heat", "flow of heat") == 1.0 and V.similarity("", "x") == 0.0
     assert V.partial_similarity("heat", "the flow of heat and mass") == 1.0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcd", "abc déñ😀", "the quick brown fox"])
+def test_partial_similarity_equals_difflib(letters):
+    rng = random.Random(5)
+
+    def plain(a, b):
+        short, long = sorted((a, b), key=len)
+        if not short:
+            return 0.0
+        found = difflib.SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()
+        starts = {max(0, min(len(long) - len(short), y - x)) for x, y, n in found if n}
+        return max((difflib.SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts), default=0.0)
+
+    for n in [0, 1, 2, 3, *[rng.randrange(40) for _ in range(300)], 150]:
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = "".join(rng.choice(letters) for _ in range(rng.choice([n, n + 1, 2 * n, 3 * n])))
+        b = b[: n // 2] + a[n // 4 :] + b[n // 2 :] if rng.random() < 0.3 else b
+        assert V.partial_similarity(a, b) == plain(a, b)
+
+
+def test_partial_similarity_does_not_repeat_work(monkeypatch):
+    rng, tried = random.Random(9), []
+    phrase, window = ("".join(rng.choice("etaoin shrdlu") for _ in range(n)) for n in (200, 400))
+    longest = V._Blocks._longest
+    monkeypatch.setattr(V._Blocks, "_longest", lambda self, *box: tried.append(box[:4]) or longest(self, *box))
+    blocks = V._Blocks(phrase, window)
+    starts = range(0, 200, 2)
+    sizes = [blocks.matched(s, s + 200) for s in starts]
+    assert len(tried) == len(set(tried)) and sizes[0] == sum(m.size for m in difflib.SequenceMatcher(None, phrase, window[:200], autojunk=False).get_matching_blocks())

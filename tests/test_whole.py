@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quireline.plans import catalog
 
@@ -59,3 +60,12 @@ def test_all_items_are_asked_and_long_documents_aligned(spark, tmp_path):
     spark.createDataFrame([(i, f"{'What is it? ' * 20}{i}") for i in (3, 19, 20, 150)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r["qid"] for r in catalog.QUERIES["ask_questions"](spark, str(tmp_path)).collect()} == {3, 19, 20, 150}
     assert {r["doc_id"] for r in catalog.QUERIES["dp_align"](spark, str(tmp_path)).select("doc_id").distinct().collect()} == {1, 2}
+
+
+def test_phrases_are_scored_in_many_tasks(spark, tmp_path):
+    docs = [(i, f"common words of document number {i} " * 20) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "common phrase"), (8, "number of words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = catalog.QUERIES["phrase_window_match"](spark, str(tmp_path))
+    assert found.count() == 60 * 2 * 3
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
