@@ -4,7 +4,11 @@ Centroids are fitted on a bounded sample by k-means with a penalty on long
 lists. Every vector is put into the list of its nearest centroid and, if it is
 near a boundary, into further lists (its replicas). A query's lists come from a
 beam search over a graph of the centroids, and those much farther than the
-nearest one are left out. Distances to what the lists hold are exact. Long
+nearest one are left out. How far is far enough depends on the rows, so it is
+measured: some queries are compared with all rows, and the bounds are widened,
+up to all lists, until these queries find what is asked of them (beams beyond
+the graph's take the distances to all centroids, which cost less than a wide
+search). Distances to what the lists hold are exact. Long
 lists, and lists with many queries, are cut into blocks, so that no task meets
 more than one block of either.
 
@@ -30,6 +34,10 @@ from .common import stored
 SAMPLE, MAX_LISTS = 20_000, 8192
 #: Vectors a list should hold; vectors and queries in a block.
 LIST_SIZE, BLOCK = 128, 4096
+#: Queries compared with all rows, and the share of their nearest rows that the visited lists must hold.
+TRIALS, RECALL = 128, 0.97
+#: The widest beam of the graph, and what may be visited: distances beyond the nearest list's as a share of it, and numbers of lists.
+BEAM, RATIOS = 64, (0.35, 0.5, 0.7, 1.0, 1.5, float("inf"))
 
 
 def _usable(c: Column) -> Column:
@@ -103,9 +111,9 @@ class Graph:
     def search(self, x: np.ndarray, beam: int, expand: int = 12, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of about the beam nearest centroids of each row, nearest first: each hop looks at the neighbours of the best."""
         n = len(self.c)
-        if n <= beam:
+        if n <= beam or beam > BEAM:
             d = np.sqrt(_squares(x, self.c))
-            order = np.argsort(d, axis=1, kind="stable")
+            order = np.argsort(d, axis=1, kind="stable")[:, :beam]
             return order, np.take_along_axis(d, order, 1)
         ids = np.tile(self.start[:beam].astype(np.int32), (len(x), 1))
         d = self._distances(x, ids)
@@ -182,40 +190,114 @@ def build(packed: DataFrame, dim: int) -> Index:
     return Index(graph, postings, sizes, dim, rows)
 
 
+def _visited(at: np.ndarray, d: np.ndarray, sizes: np.ndarray, k: int, ratio: float) -> np.ndarray:
+    """Which of each row's lists (nearest first) are visited: those near enough, and more until they hold some times k vectors."""
+    held = np.cumsum(sizes[at], axis=1)
+    before = np.hstack([np.zeros((len(at), 1), dtype=held.dtype), held[:, :-1]])
+    return (d <= d[:, :1] * (1 + ratio) if np.isfinite(ratio) else np.isfinite(d)) | (before < 16 * (k + 1))
+
+
+def _by_list(sizes: dict[int, int], lists: int) -> np.ndarray:
+    out = np.zeros(lists, dtype=np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+def _nearest_of_all(packed: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, k: int) -> list[set[int]]:
+    """The ids of the k rows nearest to each row of x (of these ids): every row is compared, each task keeps its k best."""
+    held = packed.sparkSession.sparkContext.broadcast((ids, x))
+
+    def best(batches):
+        ids, x = held.value
+        d, at = np.full((len(x), 0), np.inf), np.full((len(x), 0), -1, dtype=np.int64)
+        for b in batches:
+            new, v = b.column("id").to_numpy(), b.column("v").to_pylist()
+            for i in range(0, len(v), 4096):
+                near = _squares(x, unpack(v[i : i + 4096], dim))
+                near[ids[:, None] == new[None, i : i + 4096]] = np.inf
+                d, at = np.hstack([d, near]), np.hstack([at, np.broadcast_to(new[i : i + 4096], near.shape)])
+                if d.shape[1] > k:
+                    first = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    d, at = np.take_along_axis(d, first, 1), np.take_along_axis(at, first, 1)
+        q, _ = np.nonzero(np.isfinite(d))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(at[np.isfinite(d)], pa.int64()), pa.array(d[np.isfinite(d)], pa.float64())], names=["q", "id", "d"])
+
+    got = packed.mapInArrow(best, "q int, id long, d double").toPandas().sort_values(["q", "d", "id"]).drop_duplicates(["q", "id"])
+    out = got.groupby("q").head(k).groupby("q")["id"].apply(set).to_dict()
+    return [out.get(i, set()) for i in range(len(x))]
+
+
+def widths(index: Index, packed: DataFrame, queries: DataFrame, k: int, recall: float | None = None) -> tuple[float, int]:
+    """(ratio, beam): of the bounds under which the lists hold enough of the trial queries' nearest rows, those that visit the fewest rows."""
+    graph, n = index.graph, len(index.graph.c)
+    trial = queries.orderBy(F.xxhash64("id"), "id").limit(TRIALS).toArrow()
+    if not trial.num_rows or n <= 1:
+        return RATIOS[0], BEAM
+    ids, x = trial.column("id").to_numpy(), unpack(trial.column("v").to_pylist(), index.dim)
+    truth = _nearest_of_all(packed, ids, x, index.dim, k)
+    lists: dict[int, list[int]] = {}
+    for r in index.postings.where(F.col("id").isin(sorted(set().union(*truth)))).select("id", "list").distinct().collect():
+        lists.setdefault(r["id"], []).append(r["list"])
+    sizes, least = _by_list(index.sizes, n), (RECALL if recall is None else recall) * sum(map(len, truth))
+    held = np.zeros((len(x), n), dtype=bool)
+
+    def cost(at: np.ndarray, d: np.ndarray, ratio: float) -> float | None:
+        seen = _visited(at, d, sizes, k, ratio)
+        held[:] = False
+        row, _ = np.nonzero(seen)
+        held[row, at[seen]] = True
+        hits = sum(bool(held[i, lists[t]].any()) for i, near in enumerate(truth) for t in near)
+        return float(sizes[at[seen]].sum()) if hits >= least else None
+
+    at, d = graph.search(x, BEAM)
+    if cost(at, d, RATIOS[0]) is not None:
+        return RATIOS[0], BEAM
+    at, d = graph.search(x, n + BEAM)
+    beams = sorted({min(n, int(BEAM * 1.25**i)) for i in range(64)} - set(range(BEAM + 1)) | {n})
+    found = [(c, r, b) for r in RATIOS for b in beams if (c := cost(at[:, :b], d[:, :b], r)) is not None]
+    _, ratio, beam = min(found)
+    return ratio, max(beam, BEAM + 1)
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, ratio: float = 0.35, beam: int = 64, everywhere: bool = False) -> DataFrame:
-    """The k nearest of each query (id, v) as (query_id, rank, vec_id, score). everywhere: over all lists, which is exact."""
+def search(index: Index, queries: DataFrame, k: int = 10, ratio: float = RATIOS[0], beam: int = BEAM, everywhere: bool = False) -> DataFrame:
+    """The k nearest of each query (id, v) as (query_id, rank, vec_id, score). everywhere: over all lists, which is exact.
+
+    Queries may have a column most: rows farther away are not asked for, and then lists give next to no rows.
+    """
+    if "most" not in queries.columns:
+        queries = queries.withColumn("most", F.lit(float("inf")))
     spark, dim, sizes = queries.sparkSession, index.dim, index.sizes
     held = spark.sparkContext.broadcast((index.graph, sizes))
 
     def route(batches):
         graph, n = held.value
         every = np.array(sorted(n))
+        n = _by_list(n, len(graph.c))
         for b in batches:
-            v, ids, out = b.column("v").to_pylist(), b.column("id").to_pylist(), ([], [], [])
+            v, ids, most, out = b.column("v").to_pylist(), b.column("id").to_pylist(), b.column("most").to_pylist(), ([], [], [], [])
             for i in range(0, len(v), 256):
                 x = unpack(v[i : i + 256], dim)
                 at, d = graph.search(x, beam)
+                near = _visited(at, d, n, k, ratio)
                 for j in range(len(x)):
-                    near = d[j] <= d[j][0] * (1 + ratio)
-                    held_so_far = np.cumsum([n.get(int(c), 0) for c in at[j]])
-                    near |= np.append(0, held_so_far[:-1]) < 16 * (k + 1)
-                    for c in every if everywhere else at[j][near]:
+                    for c in every if everywhere else at[j][near[j]]:
                         out[0].append(int(c))
                         out[1].append(ids[i + j])
                         out[2].append(v[i + j])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["list", "id", "v"])
+                        out[3].append(most[i + j])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.float64())], names=["list", "id", "v", "most"])
 
-    routed = stored(queries.mapInArrow(route, "list int, id long, v binary"), "ann-routes")
+    routed = stored(queries.select("id", "v", "most").mapInArrow(route, "list int, id long, v binary, most double"), "ann-routes")
     asked = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
     top = max([*sizes, *asked], default=0)
     blocks = lambda n: F.element_at(F.split(F.lit(",".join(str(-(-n.get(i, 1) // BLOCK)) for i in range(top + 1))), ",").cast("array<int>"), F.col("list") + 1)
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks(n)).cast("int")
     spread = lambda n, name: F.explode(F.sequence(F.lit(0), blocks(n) - 1)).alias(name)
     p = index.postings.select("list", "id", "v", part(sizes, 1).alias("pb"), spread(asked, "qb"))
-    q = routed.select("list", "id", "v", part(asked, 2).alias("qb"), spread(sizes, "pb"))
+    q = routed.select("list", "id", "v", "most", part(asked, 2).alias("qb"), spread(sizes, "pb"))
 
     def nearest_in_block(left, right):
         import pandas as pd
@@ -224,14 +306,12 @@ def search(index: Index, queries: DataFrame, k: int = 10, ratio: float = 0.35, b
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, x = left["id"].to_numpy(), unpack(left["v"], dim)
         out = ([], [], [])
-        for qid, y in zip(right["id"].to_numpy(), unpack(right["v"], dim), strict=True):
+        for qid, y, most in zip(right["id"].to_numpy(), unpack(right["v"], dim), right["most"].to_numpy(), strict=True):
             d = np.sqrt(((x - y) ** 2).sum(1))
-            d[ids == qid] = np.inf
-            best = np.lexsort((ids, d))[: 4 * k] if len(d) <= 4 * k else None
-            if best is None:
-                edge = np.partition(d, k)[k]
-                close = np.flatnonzero(d <= edge)
-                best = close[np.lexsort((ids[close], d[close]))]
+            close = np.flatnonzero((ids != qid) & (d <= most))
+            if len(close) > 4 * k:
+                close = close[d[close] <= np.partition(d[close], k)[k]]
+            best = close[np.lexsort((ids[close], d[close]))]
             _, first = np.unique(ids[best], return_index=True)
             best = best[np.sort(first)][:k]
             best = best[np.isfinite(d[best])]
@@ -255,6 +335,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     index = build(packed, dim)
     queries = packed.where(F.col("id") % every == 0)
     found = stored(search(index, queries, k), "ann-found")
+    ratio, beam = widths(index, packed, queries, k)
+    if (ratio, beam) != (RATIOS[0], BEAM):
+        # The first search's k-th distance bounds what the wider one has to give back.
+        bound = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("score") * (1 + 1e-9)).alias("most"))
+        asked = queries.join(bound, "id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+        both = found.drop("rank").unionByName(search(index, asked, k, ratio, beam).drop("rank")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        found = stored(both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
     want = min(k, packed.select("id").distinct().count() - 1)
     full = found.groupBy("query_id").count().where(F.col("count") >= want).select(F.col("query_id").alias("id"))
     short = queries.join(full, "id", "left_anti")

@@ -61,3 +61,12 @@ def test_small_tables(spark):
     assert A.nearest(spark.createDataFrame([], schema)).count() == 0
     assert A.nearest(spark.createDataFrame([(100, [1.0])], schema)).count() == 0
     assert [tuple(r) for r in A.nearest(spark.createDataFrame([(100, [1.0]), (1, [3.0])], schema)).collect()] == [(100, 1, 1, 2.0)]
+
+
+def test_rows_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(A, "LIST_SIZE", 16)
+    rows = list(enumerate(np.random.default_rng(7).random(size=(5000, 48)).tolist()))
+    got = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = exact(rows, 100, 10)
+    found = {(g["query_id"], g["vec_id"]) for g in got}
+    assert sum((q, i) in found for q in want for i, _ in want[q]) / (10 * len(want)) >= 0.95
