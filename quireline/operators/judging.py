@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +24,9 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _number(v: Column, pattern: str) -> Column:
+def _number(v: Column, pattern: str, kind: Column | None = None) -> Column:
     """A number, a truth value as 0 or 1, or a text that reads as one; else null."""
-    kind, text = _kind(v), F.trim(F.try_variant_get(v, "$", "string"))
+    kind, text = _kind(v) if kind is None else kind, F.trim(F.try_variant_get(v, "$", "string"))
     return (
         F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
         .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
@@ -33,28 +35,45 @@ def _number(v: Column, pattern: str) -> Column:
 
 
 def judge_object_errors(reply: Column, version: str = VERSION) -> Column:
-    """The codes of what a judge's reply (JSON) lacks or has in a wrong form, in a fixed order."""
-    obj = F.try_parse_json(reply)
-    at = lambda path: F.try_variant_get(obj, f"$.{path}", "variant")
+    """The codes of what a judge's reply (JSON) lacks or has in a wrong form, in a fixed order.
+
+    The reply is parsed once and each of its values is read once: they are bound to arrays, as an expression of this size is
+    compiled to no code, and what is written twice in it is worked out twice.
+    """
+    paths = ["schema_version", *KEYS, *[f"scores.{k}" for k in SCORES], *[k for k in LISTS if k not in KEYS]]
+    values = lambda obj: F.array(obj, *[F.try_variant_get(obj, f"$.{p}", "variant") for p in paths])
+    pairs = lambda vs: F.transform(vs, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind")))
+    return _bound(F.try_parse_json(reply), lambda obj: _bound(pairs(values(obj)), lambda found: _object_codes(found, paths, version)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _object_codes(read: Column, paths: list[str], version: str) -> Column:
+    obj = F.get(read, F.lit(0))["v"]
+    at = lambda path: F.get(read, F.lit(paths.index(path) + 1))["v"]
+    kind_of = lambda path: F.get(read, F.lit(paths.index(path) + 1))["kind"]
     whole = r"^[+-]?[0-9]+$"
-    scores = _kind(at("scores")).startswith("OBJECT")
+    scores = kind_of("scores").startswith("OBJECT")
     no_scores = ~F.coalesce(scores, F.lit(False))
-    found = [("schema_version_mismatch", ~F.coalesce((_kind(at("schema_version")) == "STRING") & (F.try_variant_get(obj, "$.schema_version", "string") == version), F.lit(False)))]
+    found = [("schema_version_mismatch", ~F.coalesce((kind_of("schema_version") == "STRING") & (F.try_variant_get(at("schema_version"), "$", "string") == version), F.lit(False)))]
     found += [(f"missing_{k}", at(k).isNull()) for k in KEYS]
     found.append(("scores_not_dict", no_scores))
     for k in SCORES:
         v = at(f"scores.{k}")
-        n = _number(v, whole)
+        n = _number(v, whole, kind_of(f"scores.{k}"))
         n = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
         found += [(f"scores_missing_{k}", scores & v.isNull()), (f"scores_out_of_range_{k}", scores & ~n.between(0, 10)), (f"scores_not_int_{k}", scores & v.isNotNull() & n.isNull())]
-    sure = _number(at("confidence"), r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    sure = _number(at("confidence"), r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", kind_of("confidence"))
     found += [("confidence_out_of_range", ~sure.between(0, 1)), ("confidence_not_float", sure.isNull())]
-    found.append(("should_use_tools_not_bool", ~F.coalesce(_kind(at("should_use_tools")) == "BOOLEAN", F.lit(False))))
-    used = F.try_variant_get(obj, "$.used_evidence_indices", "array<variant>")
-    listed = F.coalesce(_kind(at("used_evidence_indices")).startswith("ARRAY"), F.lit(False))
+    found.append(("should_use_tools_not_bool", ~F.coalesce(kind_of("should_use_tools") == "BOOLEAN", F.lit(False))))
+    used = F.try_variant_get(at("used_evidence_indices"), "$", "array<variant>")
+    listed = F.coalesce(kind_of("used_evidence_indices").startswith("ARRAY"), F.lit(False))
     found += [("used_evidence_indices_not_list", ~listed), ("used_evidence_indices_not_int", listed & F.exists(used, lambda x: _number(x, whole).isNull()))]
-    found += [(f"{k}_not_list", ~_kind(at(k)).rlike("^(ARRAY|VOID)")) for k in LISTS]
-    return F.when(F.coalesce(_kind(obj).startswith("OBJECT"), F.lit(False)), codes(*found)).otherwise(F.array(F.lit("not_dict")))
+    found += [(f"{k}_not_list", ~kind_of(k).rlike("^(ARRAY|VOID)")) for k in LISTS]
+    return F.when(F.coalesce(F.get(read, F.lit(0))["kind"].startswith("OBJECT"), F.lit(False)), codes(*found)).otherwise(F.array(F.lit("not_dict")))
 
 
 def judge_flat(reply: Column) -> list[Column]:
