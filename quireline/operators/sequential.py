@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.vector import similarity
+from ..functions.vector import common_length, similarity
 
 
 def per_group(df: DataFrame, by: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], extra: str = "") -> DataFrame:
@@ -145,6 +145,40 @@ def merged_lines(lines: list[str]) -> list[str]:
     return kept
 
 
+def _worth_matching(left: list[tuple[int | None, str]], right: list[tuple[int | None, str]], most: float, cost: Callable[[tuple, tuple], float], sim: Callable[[str, str], float]) -> list[dict[int, float]]:
+    """For each left row the costs of those right rows that a match may pay for: below ``most``, what skipping both costs.
+
+    The titles' similarity is bounded first by the characters they share and then by their longest common subsequence; what cannot
+    pay by these bounds is not compared. Another measure than our own has no such bounds.
+    """
+    import numpy as np
+
+    most += 1e-6
+    if sim is not similarity:
+        return [{j: c for j, b in enumerate(right) if (c := cost(a, b)) < most} for a in left]
+    low = [b[1].lower() for b in right]
+    sizes = np.array([len(t) for t in low], dtype=float)
+    chars = lambda t: np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % 64, minlength=64)
+    held = np.array([chars(t) for t in low]).reshape(-1, 64)
+    numbers = np.array([b[0] or 0 for b in right])
+    out = []
+    for a in left:
+        t = a[1].lower()
+        high = 2 * np.minimum(held, chars(t)).sum(1) / np.maximum(sizes + len(t), 1)
+        apart = 1.5 * ((numbers != 0) & (numbers != a[0])) if a[0] else np.zeros(len(low))
+        same = (numbers == a[0]) if a[0] else np.zeros(len(low), dtype=bool)
+        near = {}
+        for j in np.flatnonzero(same | (10 * (1 - high) + apart < most)).tolist():
+            if not same[j] and t != low[j]:
+                both = max(1, len(t) + len(low[j]))
+                if 10 * (1 - 2 * common_length(t, low[j], both * (1 - (most - apart[j]) / 10) / 2) / both) + apart[j] >= most:
+                    continue
+            if (c := cost(a, right[j])) < most:
+                near[j] = c
+        out.append(near)
+    return out
+
+
 def monotone_alignment(left: list[tuple[int | None, str]], right: list[tuple[int | None, str]], skip: float = 2.0, sim: Callable[[str, str], float] = similarity) -> dict[int, int]:
     """Least-cost monotone matching of two sequences of (number, title), either side may skip.
 
@@ -161,27 +195,31 @@ def monotone_alignment(left: list[tuple[int | None, str]], right: list[tuple[int
         return c + (4 if s < 0.25 else 0)
 
     n, m = len(left), len(right)
-    best = [[float("inf")] * (m + 1) for _ in range(n + 1)]
-    came: list[list[str]] = [[""] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            ways = []
-            if i:
-                ways.append((best[i - 1][j] + skip, "left"))
-            if j:
-                ways.append((best[i][j - 1] + skip, "right"))
-            if i and j:
-                ways.append((best[i - 1][j - 1] + cost(left[i - 1], right[j - 1]), "match"))
-            if ways:
-                best[i][j], came[i][j] = min(ways, key=lambda w: w[0])
-    i, j = n, min(range(m + 1), key=lambda j: (best[n][j], -j))
+    match = _worth_matching(left, right, 2 * skip, cost, sim)
+    best = [0.0] * (m + 1)
+    for j in range(1, m + 1):
+        best[j] = best[j - 1] + skip
+    came = [bytearray(m + 1) for _ in range(n + 1)]  # 0: the left one is skipped, 1: the right one, 2: a match
+    came[0] = bytearray([1]) * (m + 1)
+    for i in range(1, n + 1):
+        near, row, before = match[i - 1], came[i], best
+        best = [before[0] + skip]
+        last = best[0]
+        for j in range(1, m + 1):
+            up, over = before[j] + skip, last + skip
+            last = up
+            if over < last:
+                last, row[j] = over, 1
+            if (c := near.get(j - 1)) is not None and before[j - 1] + c < last:
+                last, row[j] = before[j - 1] + c, 2
+            best.append(last)
+    i, j = n, min(range(m + 1), key=lambda j: (best[j], -j))
     out = {}
     while i or j:
-        if came[i][j] == "match":
+        if came[i][j] == 2:
             out[i - 1] = j - 1
             i, j = i - 1, j - 1
-        elif came[i][j] == "left":
+        elif came[i][j] == 0:
             i -= 1
         else:
             j -= 1
@@ -225,14 +263,15 @@ def chosen_boundaries(candidates: list[list[tuple[int, float]]], estimates: list
 
 def lock_headings(starts: list[int], headings: list[int], radius: int) -> list[int]:
     """Each start moves to the nearest heading in reach that no earlier start has taken and that keeps the order."""
-    used: set[int] = set()
-    out, prev = [], -1
+    from bisect import bisect_right
+
+    heads = sorted(set(headings))
+    out, prev = [], -1  # what earlier starts have taken lies at prev or before
     for s in starts:
-        near = [h for h in headings if abs(h - s) <= radius and h not in used and h > prev]
-        at = min(near, key=lambda h: (abs(h - s), h)) if near else max(s, prev + 1)
-        used.add(at)
-        out.append(at)
-        prev = at
+        first, at = bisect_right(heads, prev), bisect_right(heads, s)
+        near = [h for h in (*heads[max(first, at - 1) : at], *heads[max(first, at) : max(first, at) + 1]) if abs(h - s) <= radius]
+        prev = min(near, key=lambda h: (abs(h - s), h)) if near else max(s, prev + 1)
+        out.append(prev)
     return out
 
 

@@ -55,3 +55,23 @@ def test_only_rows_that_can_be_first_are_ranked(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, W.top_by(df, ["g"], [F.desc("s"), F.col("id")], 5).collect()))
     for name in ("name_similarity_rank", "name_similarity_rank_whole"):
         assert all("__least" in p for p in under(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"), "Window"))
+
+
+def test_lines_are_aligned_whole_and_titles_by_bounds(spark, tmp_path):
+    from quireline.functions import vector as V
+    from quireline.operators import sequential as S
+
+    start = "the same sixty characters stand at the beginning of all of these lines "
+    documents(spark, tmp_path, [(1, "\n".join(start + c * 70 for c in "abcdefgh"))])
+    got = {(r["left_pos"], r["right_pos"], r["score"]) for r in catalog.QUERIES["dp_align"](spark, str(tmp_path)).collect()}
+    assert {(a, b) for a, b, _ in got} == {(p, p) for p in (1, 2, 5, 7)} and {s for *_, s in got} == {1.0}
+    rows = [(i + 1, f"{'long words of a title ' * (i % 3)}{i // 2} {'x' * (i % 5)}") for i in range(12)]
+    assert S.monotone_alignment(rows, rows[3:]) == S.monotone_alignment(rows, rows[3:], sim=lambda a, b: V.similarity(a, b))
+    calls = []
+    S.monotone_alignment([(1, "one two three")], [(2, "zzzzz")], sim=lambda a, b: calls.append(1) or 0.0)
+    assert calls and V.common_length("abcbdab", "bdcaba") == 4
+
+
+def test_boundaries_need_no_shuffle(spark):
+    plan = catalog.QUERIES["boundary_selection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
