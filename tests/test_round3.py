@@ -75,3 +75,12 @@ def test_lines_are_aligned_whole_and_titles_by_bounds(spark, tmp_path):
 def test_boundaries_need_no_shuffle(spark):
     plan = catalog.QUERIES["boundary_selection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_matching_forms_come_a_few_at_a_time(spark, monkeypatch):
+    from quireline.functions import vector as V
+
+    monkeypatch.setattr(V, "FORM_CHARS", 10)
+    texts = [None, "", "ab-\ncd \ufb01 x", "y" * 40, "z", " \u201cq\u201d"]
+    got = V.match_forms(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
+    assert {r["id"]: (r["text"], r["at"]) for r in got} == {i: V.match_form(t) for i, t in enumerate(texts)}
